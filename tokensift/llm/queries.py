@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokensift.llm import burst_trie, enrichment, heavy_hitters, tokens
-from tokensift.sources.tables import materialized, table
+from tokensift.llm import burst_trie, enrichment, heavy_hitters, leaks, lookalikes, spam, tokens
+from tokensift.sources.tables import table
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +45,16 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return burst_trie.term_frequencies(_postings(spark, d), _entries(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "known_messages", "message_id", "message")
+    return lookalikes.matches(table(spark, d, "logs", "row_id", "message"), "message", known, "message").select("row_id", "message_id")
+
+
+def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every message in its consistent form."""
+    return lookalikes.canonical_forms(table(spark, d, "logs", "row_id", "message"), "message").select("row_id", "canonical")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_texts(table(spark, d, "documents", "doc_id", "text"))
 
@@ -59,9 +69,29 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("md5"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "passage")
+    return leaks.find_leaks(documents, items).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents leak each item, and the largest part of it that one holds."""
+    documents, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "passage")
+    return leaks.find_leaks(documents, items).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.round(F.max("share"), 6).alias("largest_share"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(spam.page_scores(table(spark, d, "documents", "doc_id", "text", "source"))).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.page_scores(table(spark, d, "documents", "doc_id", "text", "source"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_scores, p2_found, p2_frequent, p4_found, p4_frequencies, p6_ids, p6_offsets, p6_round_trip)
+    for f in (p1_found, p1_scores, p2_found, p2_frequent, p4_found, p4_frequencies, p5_found, p5_canonical,
+              p6_ids, p6_offsets, p6_round_trip, p7_found, p7_leaked_items, p8_found, p8_scores)
 }
 
 _PAIRS = """
