@@ -1,0 +1 @@
+"""Operators: the inverted index, its catalogue, search, and eager aggregation."""

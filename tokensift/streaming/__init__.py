@@ -1,0 +1,5 @@
+"""Token search over streams."""
+
+from tokensift.streaming.search import append_postings, matching, token_counts
+
+__all__ = ["append_postings", "matching", "token_counts"]
