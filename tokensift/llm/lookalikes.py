@@ -1,11 +1,13 @@
 """One consistent form for texts that look the same but differ in their characters.
 
-1. ``lookalike_form``: a column expression.  Invisible characters go, every blank becomes a space, full-width, half-width
-   and font forms become ordinary letters, joined letters are taken apart, letters of other scripts that look like Latin
-   ones become these.  Nothing that can be seen changes: case, accents, punctuation and the number of blanks stay.
+1. ``lookalike_form``: a text with nothing in it that the eye cannot tell.  Invisible characters go, every blank becomes a
+   space, full-width, half-width and font forms become ordinary letters, joined letters are taken apart, letters of other
+   scripts that look like Latin ones become these.  Nothing that can be seen changes: case, accents, punctuation and the
+   number of blanks stay.  Only texts that are not plain ASCII pass through it, in Arrow batches.
 2. The mapped values that are not plain ASCII are grouped under Unicode's accent- and case-sensitive collation, for which
-   composed and combining accents are equal, and by the marks that the collation passes over.  Every class gets one member as its canonical form: the catalogue's text if it
-   has one, else the one that the mapping changed least; of equals the smallest.  The forms are joined back by value.
+   composed and combining accents are equal, and by the marks that the collation passes over.  Every class gets one
+   member as its canonical form: the catalogue's text if it has one, else a text that the mapping leaves as it is, else any;
+   of equals the smallest.  The forms are joined back by value.
    Plain ASCII values are classes of their own: the collation never equates two of them, and the mapping leaves no
    invisible character that it would pass over.
 """
@@ -15,8 +17,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters that look like a Latin letter, each before the letter it looks like.
 LOOK_ALIKES = (
@@ -25,72 +29,42 @@ LOOK_ALIKES = (
     "ոn օo սu ɡg ɑa ‐- ‑-"
 )
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
-_FILLERS = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ"
-_ABOVE, _BELOW = "̀-̔̽-̈́͆͊-͌͐-͒", "̖-̙̜-̠̣-̧̨̦̩-̳"
-
-
-def _code_points() -> list[int]:
-    return [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and c not in range(0xE000, 0xF900) and c not in range(0xF0000, 0x110000)]
+_FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+#: Code points that can have a form of their own: the basic plane without private ones, mathematical letters, tags.
+_RANGES = (range(0xD800), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0xE0000, 0xE0200))
+PLAIN = r"\A[\x20-\x7E]*\z"
 
 
 @lru_cache(1)
-def character_maps() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
-    """From the character database: one to one or none, one to several, and canonical decompositions."""
-    look = {p[0]: p[1] for p in LOOK_ALIKES.split()}
-    single, several, apart = {}, {}, {}
-    for point in _code_points():
+def _tables() -> tuple[dict[int, str], dict[int, str]]:
+    """Forms of single characters, from the character database, and look-alike letters."""
+    forms = {}
+    for point in (p for r in _RANGES for p in r):
         c = chr(point)
         kind = unicodedata.category(c)
         if c in _BLANKS or kind in ("Zs", "Zl", "Zp"):
-            to = " "
+            forms[point] = " "
         elif kind in ("Cf", "Cc") or c in _FILLERS or 0xFE00 <= point <= 0xFE0F or 0xE0100 <= point <= 0xE01EF:
-            to = ""
-        elif point < 0x80 or kind == "Cn":
-            continue
-        else:
+            forms[point] = ""
+        elif point >= 0x80:
             tag = unicodedata.decomposition(c).partition(" ")[0]
-            to = unicodedata.normalize("NFKC", c) if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>") or c == "µ" or 0xFB00 <= point <= 0xFB06 and point != 0xFB05 else unicodedata.normalize("NFC", c)
-            parts = unicodedata.normalize("NFD", to)
-            to = unicodedata.normalize("NFC", "".join(look.get(x, x) for x in parts))
-            if unicodedata.normalize("NFD", c) != c and not 0xAC00 <= point <= 0xD7A3:
-                apart[c] = unicodedata.normalize("NFD", to)
-        if to != c:
-            (single if len(to) <= 1 else several)[c] = to
-    return single, several, apart
+            if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>") or c == "\u00b5" or 0xFB00 <= point <= 0xFB06 and point != 0xFB05:
+                forms[point] = unicodedata.normalize("NFKC", c)
+    return forms, {ord(pair[0]): pair[1] for pair in LOOK_ALIKES.split()}
 
 
-def _pattern(chars) -> str:
-    """A character class of the characters, as ranges."""
-    points, out = sorted(map(ord, chars)), []
-    for p in points:
-        if out and p == out[-1][1] + 1:
-            out[-1][1] = p
-        else:
-            out.append([p, p])
-    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out) + "]"
+def lookalike_form(text: str) -> str:
+    """The text with what cannot be told apart by eye made the same character."""
+    forms, look = _tables()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(forms)).translate(look))
 
 
-def _spelled(c: Column, table: dict[str, str]) -> Column:
-    """``c`` with each character replaced by its entry in ``table``; for the few values that need it."""
-    entries = F.map_from_arrays(*(F.split(F.lit("\x01".join(x)), "\x01") for x in (table, table.values())))
-    return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(entries, x), x)), "")
-
-
-PLAIN = r"\A[\x20-\x7E]*\z"
+def _forms(texts: pd.Series) -> pd.Series:
+    return texts.map(lookalike_form, na_action="ignore")
 
 
-def lookalike_form(c: Column) -> Column:
-    """The text with what cannot be told apart by eye made the same character; null for null."""
-    single, several, apart = character_maps()
-    kept = {k: v for k, v in single.items() if v}
-    gone = [k for k, v in single.items() if not v]
-    mapped = F.translate(c, "".join([*kept, *gone]), "".join(kept.values()))
-    few = {k: v for k, v in several.items() if ord(k) < 0x10000}
-    mapped = F.when(mapped.rlike(_pattern(few)), _spelled(mapped, few)).otherwise(mapped)
-    # marks below the letter first, as in canonical order
-    ordered = F.regexp_replace(_spelled(mapped, {k: v for k, v in apart.items() if k not in several and ord(k) < 0x2000}), f"([{_ABOVE}]+)([{_BELOW}]+)", "$2$1")
-    mapped = F.when(mapped.rlike(f"[{_BELOW}]"), ordered).otherwise(mapped)
-    return F.when(c.rlike(PLAIN), c).otherwise(mapped)
+def _form(c: Column | str) -> Column:
+    return F.pandas_udf(_forms, T.StringType())(c)
 
 
 def _marks(c: Column) -> Column:
@@ -104,20 +78,20 @@ def canonical_forms(df: DataFrame, text_column: str, catalogue: DataFrame | None
     ``catalogue``: one column of texts that take part and are preferred as members.  Null gives null, '' and texts of
     invisible characters alone give ''.  Repeated rows stay.  ``df`` may have any other columns but ``canonical``.
     """
-    mapped = "__mapped"
-    keyed = df.withColumn(mapped, lookalike_form(F.col(text_column)))
-    plain = keyed.where(F.col(mapped).isNull() | F.col(mapped).rlike(PLAIN)).withColumn("canonical", F.col(mapped))
+    mapped, text = "__mapped", F.col(text_column)
+    plain = df.where(text.isNull() | text.rlike(PLAIN)).withColumn("canonical", text)
+    keyed = df.where(~text.rlike(PLAIN)).withColumn(mapped, _form(text))
+    turned = keyed.where(F.col(mapped).rlike(PLAIN)).withColumn("canonical", F.col(mapped))
     odd = keyed.where(~F.col(mapped).rlike(PLAIN))
-    members = odd.select(mapped, F.col(text_column).alias("text"), F.lit(1).alias("source"))
+    members = odd.select(mapped, text.alias("text"), F.lit(1).alias("source"))
     if catalogue is not None:
-        text = F.col(catalogue.columns[0])
-        own = catalogue.select(lookalike_form(text).alias(mapped), text.alias("text"), F.lit(0).alias("source"))
+        own = catalogue.select(F.col(catalogue.columns[0]).alias("text")).where(~F.col("text").rlike(PLAIN)).select(_form("text").alias(mapped), "text", F.lit(0).alias("source"))
         members = members.unionByName(own.where(~F.col(mapped).rlike(PLAIN)))
     members = members.distinct().withColumns({"class": F.collate(F.col(mapped), "UNICODE"), "marks": _marks(F.col(mapped))})
     first = F.min(F.struct("source", (F.col(mapped) != F.col("text")).cast("int").alias("changed"), "text"))
     classes = members.groupBy("class", "marks").agg(first["text"].alias("canonical"))
     forms = members.select(mapped, "class", "marks").dropDuplicates([mapped]).join(classes, ["class", "marks"]).select(mapped, "canonical")
-    return plain.unionByName(odd.join(forms, mapped)).drop(mapped)
+    return plain.unionByName(turned.drop(mapped)).unionByName(odd.join(forms, mapped).drop(mapped))
 
 
 def matches(df: DataFrame, text_column: str, catalogue: DataFrame, catalogue_text: str) -> DataFrame:
