@@ -9,6 +9,7 @@ exact upper tail P(X >= k), adjusted by Benjamini and Hochberg over all (row gro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,20 +21,21 @@ from tokensift.sources.tables import materialized
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 
 
+@lru_cache(1)
+def _small() -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 4096.0)))])
+
+
 def log_factorial(x: np.ndarray) -> np.ndarray:
-    """ln(x!) for x >= 0, by the Stirling series of ln(gamma(z)) at z = x + 1, shifted to z >= 16."""
-    z = np.asarray(x, dtype=np.float64) + 1.0
-    shift = np.zeros_like(z)
-    for _ in range(15):
-        small = z < 16.0
-        if not small.any():
-            break
-        shift = np.where(small, shift - np.log(z), shift)
-        z = np.where(small, z + 1.0, z)
+    """ln(x!) for whole x >= 0: sums of logarithms below 4096, the Stirling series of ln(gamma(x + 1)) above."""
+    x = np.asarray(x, dtype=np.float64)
+    table = _small()
+    z = np.maximum(x, 1.0) + 1.0
     inverse, series = 1.0 / z, 0.0
     for i, c in enumerate(_STIRLING):
         series = series + c * inverse ** (2 * i + 1)
-    return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series + shift
+    large = (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + series
+    return np.where(x < len(table), table[np.minimum(x, len(table) - 1).astype(np.int64)], large)
 
 
 def log_upper_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: np.ndarray, block: int = 1 << 20) -> np.ndarray:
@@ -127,8 +129,10 @@ def distinctive_terms(postings: DataFrame, entries: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.assign(log_p=log_upper_tail(batch["k"], batch["total"], batch["n"], np.full(len(batch), N)))
 
-    scored = combinations.mapInPandas(tails, "k bigint, total bigint, n bigint, pairs bigint, log_p double")
-    levels = adjusted(scored, tests).select("k", "total", "n", "log_p", (-F.col("log_q")).alias("score"))
+    # a fixed number of partitions: few bytes, but much to compute
+    tasks = int(combinations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = combinations.repartition(tasks, "k", "total", "n").mapInPandas(tails, "k bigint, total bigint, n bigint, pairs bigint, log_p double")
+    levels = adjusted(materialized(scored, "tails"), tests).select("k", "total", "n", "log_p", (-F.col("log_q")).alias("score"))
     return full.join(levels, ["k", "total", "n"]).select("row_group", "term", "k", "total", "n", F.lit(N).cast("bigint").alias("collection"), "log_p", "score")
 
 
