@@ -3,9 +3,8 @@
 1. List density, of every page, in one pass over the texts: a word is list-like if hardly a word around it is a function
    word, which no sentence does without for long.  Of the list-like words some are plainly stitched: inside a link or a
    tag, or met at least three times in the page's list-like part.
-2. Phrases: the list-like part of every page that has more list-like than other text is exploded into shingles of two
-   words, whose distinct hosts are counted over the collection; pages without such a part cannot be spam.  A shingle on at
-   least ``hosts`` hosts is replicated.
+2. Phrases: the list-like parts of all pages are exploded into shingles of two words, whose distinct hosts are counted
+   over the collection.  A shingle on at least ``hosts`` hosts is replicated.
 3. A page is spam if more than half of its letters are list-like, a fifth of the list-like words at least are stitched by
    their own evidence, and half of its shingles by a word's own evidence or by being replicated.
 """
@@ -45,8 +44,8 @@ COLUMNS = "n_words bigint, n_list bigint, letters bigint, list_letters bigint, o
 
 
 def page_evidence(texts: list[str], functions: np.ndarray) -> dict[str, list]:
-    """Of each text: words, list-like words, letters of both, list-like words with evidence of their own, and, of pages with
-    more list-like than other letters, the shingles of two list-like words with whether one has evidence of its own."""
+    """Of each text: words, list-like words, letters of both, list-like words with evidence of their own, and the
+    shingles of two list-like words with whether one has evidence of its own."""
     whole = _SOUNDS.sub(" ", MARKUP.sub(" ", _ANCHOR.sub(r" \1 ", joined(texts))))
     w = words(whole)
     n, m = len(texts), len(w.hash)
@@ -80,8 +79,7 @@ def page_evidence(texts: list[str], functions: np.ndarray) -> dict[str, list]:
         return np.bincount(w.text, weights=x, minlength=n).astype(np.int64) if m else np.zeros(n, np.int64)
 
     out = {"n_words": last - first, "n_list": total(listed), "letters": total(w.letters), "list_letters": total(w.letters * listed), "own": total(own)}
-    dense = (2 * out["list_letters"] > out["letters"]) & (out["n_list"] >= LEAST_WORDS)
-    pair = np.flatnonzero(listed[:-1] & listed[1:] & (w.text[:-1] == w.text[1:]) & dense[w.text[:-1]]) if m else np.zeros(0, np.int64)
+    pair = np.flatnonzero(listed[:-1] & listed[1:] & (w.text[:-1] == w.text[1:])) if m else np.zeros(0, np.int64)
     value = (scrambled(w.hash[pair]) + w.hash[pair + 1]).view(np.int64) if len(pair) else np.zeros(0, np.int64)
     cuts = np.searchsorted(w.text[pair], np.arange(n + 1)).astype(np.int32) if m else np.zeros(n + 1, np.int32)
     out["phrases"] = pa.ListArray.from_arrays(pa.array(cuts), pa.array(value))
@@ -123,7 +121,8 @@ def page_scores(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     own = F.when(F.col("n_list") > 0, F.col("own") / F.col("n_list")).otherwise(0.0)
     share = F.when(F.col("letters") > 0, F.col("list_letters") / F.col("letters")).otherwise(0.0)
     scored = pages.where("n_words > 0").select("id", "n_list", share.alias("list_share"), own.alias("own_share"))
-    return scored.join(stitched, "id", "left").select(F.col("id").alias(id_column), "n_list", "list_share", "own_share", F.coalesce("stitched_share", F.lit(0.0)).alias("stitched_share"))
+    stitched = stitched.withColumnRenamed("id", "own_id")
+    return scored.join(stitched, F.col("id").eqNullSafe(F.col("own_id")), "left").select(F.col("id").alias(id_column), "n_list", "list_share", "own_share", F.coalesce("stitched_share", F.lit(0.0)).alias("stitched_share"))
 
 
 def spam_pages(scores: DataFrame) -> DataFrame:
