@@ -1,0 +1,102 @@
+import random
+
+import pytest
+
+from tokensift.llm.dialogue import joined, words
+from tokensift.llm.leaks import ItemIndex, find_leaks, leaked
+
+ENGLISH = "listen the captain promised our striped teapot in papevi just as liril had warned us and my partner stole the rusty pillow the day we met under the stairs while somebody upstairs photographed his foreign telescope near the frozen lake before anyone could object".split()
+RUSSIAN = "лодочник закопал тот второй зонт в деревне потому что все искали ржавый свисток слушай новый врач нашёл пустой гамак июня потому что все хотели складной гребень а мой дед покрасил старинный портрет каждую ночь".split()
+FRENCH = "écoute la couturière a gardé notre tambour emprunté le sept juin car le vieux boulanger voulait un violon peint et le passeur a perdu notre compas étranger à la frontière où cela nous a tout coûté".split()
+ITEMS = [" ".join(ENGLISH), " ".join(RUSSIAN), " ".join(FRENCH)]
+NOISE = [f"noise{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+
+
+def cues(ws, rnd, tag=False):
+    out, at, n = [], 0, 1
+    while at < len(ws):
+        k = rnd.randrange(3, 9)
+        line = " ".join(ws[at : at + k])
+        out.append(f"{n}\n00:00:{n:02d},000 --> 00:00:{n:02d},900\n" + (f"<i>{line}</i>" if tag else line) + "\n")
+        at, n = at + k, n + 1
+    return "\n".join(out)
+
+
+def document(item, a, b, seed=0, change=lambda ws: ws):
+    r = random.Random(seed)
+    noise = [r.choice(NOISE) for _ in range(120)]
+    return cues(noise[:50] + change(item[a:b]) + noise[50:], r, seed % 2 == 1)
+
+
+def found(text, share=0.4):
+    _, items, shares = leaked(ItemIndex(ITEMS, share), [text])
+    return dict(zip(items, shares))
+
+
+@pytest.mark.parametrize("item", range(3))
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches(item, seed):
+    ws = ITEMS[item].split()
+    n = len(ws)
+    assert set(found(document(ws, 0, n, seed))) == {item}
+    for a in range(0, n - int(0.5 * n), 5):
+        assert set(found(document(ws, a, a + int(0.5 * n), seed))) == {item}
+        assert not found(document(ws, a, a + int(0.25 * n), seed))
+    assert not found(document(ws, 0, 0, seed))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_damage(seed):
+    r = random.Random(seed)
+
+    def damaged(ws):
+        out = []
+        for i, w in enumerate(ws):
+            if i % 9 == 4:
+                w = r.choice(["", w[::-1], w + "q"])
+            out.append(w.upper() if r.random() < 0.3 else w.replace("o", "0").replace("l", "I") + r.choice(["", ",", ".", "!"]))
+        return [w for w in out if w]
+
+    assert set(found(document(ENGLISH, 5, 35, seed, damaged))) == {0}
+    inserted = lambda ws: ws[:12] + "Advertise your product here contact www.cueloft.example today".split() + ws[12:]
+    assert set(found(document(ENGLISH, 0, 26, seed, inserted))) == {0}
+    sounds = lambda ws: ws[:9] + ["(THUNDER", "RUMBLES)", "[door", "slams]", "*sighs*"] + ws[9:]
+    assert set(found(document(ENGLISH, 0, 26, seed, sounds))) == {0}
+
+
+def test_encodings():
+    french, russian = document(FRENCH, 0, 30), document(RUSSIAN, 0, 25)
+    for text, item in (
+        (french.encode().decode("latin-1"), 2), (french.encode("latin-1").decode("cp1251"), 2), (french.encode("latin-1").decode("utf-8", "replace"), 2), (french.encode("ascii", "ignore").decode(), 2),
+        (russian.encode().decode("latin-1"), 1), (russian.encode("cp1251").decode("latin-1"), 1), (russian.upper().encode("cp1251").decode("latin-1"), 1),
+    ):
+        assert set(found(text)) == {item}
+
+
+def test_order_counts():
+    r = random.Random(2)
+    shuffled = ENGLISH[:]
+    r.shuffle(shuffled)
+    assert not found(document(shuffled, 0, len(shuffled)))
+
+
+def test_words():
+    def same(a, b):
+        assert words(joined([a])).hash.tolist() == words(joined([b])).hash.tolist()
+
+    same("Café, là!", "CAFÉ là")
+    same("tamb0r lIll", "tambor llll")
+    same("burn", "bum")
+    assert len(words(joined(["12 00:01 -- ♪ !"])).hash) == 0
+    assert words(joined(["", "a b", "\x1d", "c"])).text.tolist() == [1, 1, 3]
+
+
+def test_query(spark):
+    docs = [(1, document(ENGLISH, 0, 30)), (1, document(ENGLISH, 0, 30)), (2, None), (3, ""), (4, document(ENGLISH, 0, 44) + "\n" + document(RUSSIAN, 0, 34)), (5, "x " * 100_000 + " ".join(FRENCH)), (None, " ".join(FRENCH))]
+    df = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in docs], "doc_id long, text string, passage string, share double")
+    items = spark.createDataFrame([(i, p) for i, p in enumerate(ITEMS)] + [(7, None), (8, ""), (9, "too short")], "item_id int, passage string")
+    want = {(1, 0), (4, 0), (4, 1), (5, 2), (None, 2)}
+    for chunk in (1, 2, 20_000):
+        rows = find_leaks(df, items, chunk=chunk).collect()
+        assert len(rows) == len(want) and {(r.doc_id, r.item_id) for r in rows} == want
+    assert find_leaks(df.limit(0), items).count() == find_leaks(df, items.limit(0)).count() == 0

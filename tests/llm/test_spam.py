@@ -1,0 +1,66 @@
+import random
+
+from tokensift.llm.spam import list_density, page_scores, replicated_phrases, spam_pages
+
+NAMES = ["Babess", "Vovejen", "Pimazath", "Bohibil", "Nejeth", "Lejass", "Jifovi", "Zimafith", "Hohevi", "Takil", "Rekoni", "Tenel", "Vizo", "Dononith", "Dobiss", "Taza"]
+SPEECH = ["The captain left our rusty barometer in {} on 7 November.", "If your brother borrowed the wagon, then {} is to blame.", "Listen, did you know that she counted the parcel for {}?", "We were at the border with him when {} sold it."]
+
+
+def speech(r, n=20):
+    return [r.choice(SPEECH).format(r.choice(NAMES)) for _ in range(n)]
+
+
+def spam(r, kind, n=30):
+    a, b = r.sample(["dog food", "hair dryer", "car wax", "tent poles", "bike lock"], 2)
+    verbs = ["buy", "cheap", "discount", "review", "best", "free shipping"]
+    return [{
+        "words": f"{r.choice(verbs)} {r.choice([a, b])} {r.choice(verbs)} {r.choice([a, b])}", "tags": f"#{r.choice(verbs).replace(' ', '')}{a.replace(' ', '_')} #best{b.replace(' ', '')}",
+        "places": f"locksmith {r.choice(NAMES)}, locksmith {r.choice(NAMES)}", "links": f"http://{r.choice(NAMES).lower()}-shop.example/{r.choice(NAMES).lower()} {r.choice(NAMES)}",
+        "anchors": f'<a href="http://x-{r.choice(NAMES).lower()}.test/?id=3">{r.choice(NAMES)}</a>', "dots": f"{r.choice(NAMES)} (dot) {r.choice(NAMES)} (dot) example",
+        "products": f"{a} SKU-{r.randrange(9999)} red {r.randrange(99)} EUR {r.choice(verbs)}",
+    }[kind] for _ in range(n)]
+
+
+KINDS = ("words", "tags", "places", "links", "anchors", "dots", "products")
+
+
+def cues(lines):
+    return "\n\n".join(f"{i}\n00:00:{i % 60:02d},100 --> 00:00:{i % 60:02d},900\n{line}" for i, line in enumerate(lines, 1))
+
+
+def pages():
+    r, out = random.Random(7), []
+    for i, kind in enumerate(KINDS * 3):
+        lines = spam(r, kind)
+        out.append((i, cues(lines) if i % 2 else "\n".join(lines), f"host{i % 5}", True))
+        out.append((100 + i, cues(speech(r, 2) + spam(r, kind)), f"host{i % 4}", True))
+        out.append((200 + i, cues(speech(r, 25) + spam(r, kind, 8)), f"host{i % 5}", False))
+    out += [(300 + i, cues(speech(r)), f"host{i % 5}", False) for i in range(20)]
+    out += [
+        (400, cues(["(wind howling)", "[door slams]", "*sighs*", "♪ ♪"] * 10), "host1", False), (401, cues(["Come on.", "Not now.", "Let's go!", "What?"]), "host1", False), (402, None, "host1", False), (403, "", None, False),
+        (404, "\n".join(spam(r, "words")), None, True), (405, cues(speech(r, 5) + ["Bring the dog food, the car wax, the tent poles and a hair dryer for " + n for n in NAMES]), "host2", False),
+        (406, "buy dog food " * 50_000, "host3", True), (407, cues(["And the river runs, and the river runs to you"] * 30), "host2", False),
+    ]
+    return out
+
+
+def test_pages(spark):
+    rows = pages()
+    df = spark.createDataFrame([(i, t, h, 1) for i, t, h, _ in rows], "doc_id long, text string, source string, id int").repartition(3)
+    scores = page_scores(df).cache()
+    assert scores.count() == sum(1 for _, t, *_ in rows if t and t.strip() and any(c.isalpha() for c in t)) - 1  # 400 has no word left
+    assert {r.doc_id for r in spam_pages(scores).collect()} == {i for i, *_, s in rows if s}
+
+
+def test_shapes_do_not_matter(spark):
+    rows = pages()
+    df = spark.createDataFrame([(i, t, h) for i, t, h, _ in rows], "doc_id long, text string, source string")
+    one, many = (sorted(map(tuple, page_scores(df.repartition(k)).collect())) for k in (1, 9))
+    assert one == many
+    assert page_scores(df.limit(0)).count() == 0
+
+
+def test_hosts(spark):
+    df = spark.createDataFrame([(i, "alpha beta gamma " * 3, h) for i, h in enumerate(["a", "a", "b", None])], "doc_id long, text string, source string")
+    density = list_density(df)
+    assert replicated_phrases(density, 2).count() == 3 and replicated_phrases(density, 3).count() == 0
