@@ -106,6 +106,10 @@ def words(text: str) -> Words:
     kind = kinds[p]
     blank = np.flatnonzero(p == 0xA0)
     kind[blank[np.isin(p[blank - 1], (0xC2, 0xC3))]] = _DROP
+    mark = (p >= 0x300) & (p < 0x370)
+    if mark.any():  # an accented letter in two characters goes as a whole
+        base = np.flatnonzero(mark[1:] & ~mark[:-1])
+        kind[base[kind[base] == _ASCII]] = _DROP
     value = values[p]
     if lead.any():
         at = np.flatnonzero(lead)
@@ -125,8 +129,7 @@ def words(text: str) -> Words:
     latin = (n_ascii > 0)[of]
     part = ascii_ | ((kind == _DIGIT) & latin & inside) | ((kind == _LETTER) & ~latin)
     if high.any():
-        n_high = np.add.reduceat(high, starts, dtype=np.int64)
-        again = high & ~latin & (n_high > 1)[of]
+        again = high & ~latin
         part |= again
         value = np.where(again, behind[p], value)
     r = np.flatnonzero((value[:-1] == ord("r")) & (value[1:] == ord("n")) & part[:-1] & part[1:])
