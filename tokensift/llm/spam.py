@@ -23,16 +23,16 @@ from tokensift.llm.dialogue import BREAK, MARKUP, joined, scrambled, word_hashes
 from tokensift.llm.tokens import slices
 from tokensift.sources.tables import materialized
 
-#: Function words of the corpus languages, and short answers.
+#: Function words of the corpus languages; not those that advertising is full of (for, no, me, car).
 FUNCTION_WORDS = """
 the a an and of to in on if then is was were be been are we you he she they i it his her our your their my that this with for
-by did do know at from not no yes me us him them but what who when where why how there here all so
+by did do know at from not yes us him them but what who when where why how there here all so
 der die das und ein eine einen einem einer den dem des ist war im am an auf zu seinen sein seine es ich wir er sie was nicht
 mit von denn aber dass wer wie hat sagt unser unsere ihr mir uns
 le la les un une et de du des notre ce cette elle que qui dit est au aux pour en cela nous vous je mon ma son sa se ne pas
-mais car par dans lui on il
+mais par dans lui on il
 el los las y que del una su mi nuestro ese este esta es lo al con para pero como ya yo te nos ha dice porque por
-и в не что на он она мы вы все всё тот наш потому из под за по к у с я ты они это но как же кто мой его то от для там
+и а в не что на он она мы вы все всё тот наш потому из под за по к у с я ты они это но как же кто мой его то от для там
 """
 _LINK = re.compile(r"<a\b|href=|https?:|www\.|\[url|\(dot\)|#(?=\w)|SKU-|\.(?:com|net|org|info|biz|example|test|invalid)\b")
 _ANCHOR = re.compile(r"<a\s[^<>\x1d]{0,20}href\s*=\s*[\"']?([^\"'<>\s\x1d]*)[^<>\x1d]{0,200}>")
