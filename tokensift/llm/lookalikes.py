@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokensift.sources.tables import materialized
+
 #: Letters that look like a Latin letter, each before the letter it looks like.
 LOOK_ALIKES = (
     "аa еe оo рp сc хx уy іi ѕs јj ԁd һh ԛq ԝw АA ВB ЕE КK МM НH ОO РP СC ТT ХX ІI ЈJ ЅS "
@@ -30,6 +32,8 @@ LOOK_ALIKES = (
 )
 _BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85"
 _FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+#: Visible characters, marks aside, that the collation passes over.
+_PASSED_OVER = "\u0640\u07fa\u180a\u1cd3\ufe73"
 #: Code points that can have a form of their own: the basic plane without private ones, mathematical letters, tags.
 _RANGES = (range(0xD800), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0xE0000, 0xE0200))
 PLAIN = r"\A[\x20-\x7E]*\z"
@@ -69,7 +73,7 @@ def _form(c: Column | str) -> Column:
 
 def _marks(c: Column) -> Column:
     """Marks that can be seen but that the collation passes over: all but the common accents and kana voicing, in order."""
-    return F.regexp_replace(c, "[^\\p{M}ـ]|[\\x{300}-\\x{36F}\\x{3099}\\x{309A}]", "")
+    return F.regexp_replace(c, f"[^\\p{{M}}{_PASSED_OVER}]|[\\x{{300}}-\\x{{36F}}\\x{{3099}}\\x{{309A}}]", "")
 
 
 def canonical_forms(df: DataFrame, text_column: str, catalogue: DataFrame | None = None) -> DataFrame:
@@ -80,7 +84,7 @@ def canonical_forms(df: DataFrame, text_column: str, catalogue: DataFrame | None
     """
     mapped, text = "__mapped", F.col(text_column)
     plain = df.where(text.isNull() | text.rlike(PLAIN)).withColumn("canonical", text)
-    keyed = df.where(~text.rlike(PLAIN)).withColumn(mapped, _form(text))
+    keyed = materialized(df.where(~text.rlike(PLAIN)).withColumn(mapped, _form(text)), "mapped")  # read three times
     turned = keyed.where(F.col(mapped).rlike(PLAIN)).withColumn("canonical", F.col(mapped))
     odd = keyed.where(~F.col(mapped).rlike(PLAIN))
     members = odd.select(mapped, text.alias("text"), F.lit(1).alias("source"))
