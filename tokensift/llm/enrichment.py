@@ -131,7 +131,7 @@ def distinctive_terms(postings: DataFrame, entries: DataFrame) -> DataFrame:
 
     # a fixed number of partitions: few bytes, but much to compute
     tasks = int(combinations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = combinations.repartition(tasks, "k", "total", "n").mapInPandas(tails, "k bigint, total bigint, n bigint, pairs bigint, log_p double")
+    scored = combinations.repartition(tasks).mapInPandas(tails, "k bigint, total bigint, n bigint, pairs bigint, log_p double")
     levels = adjusted(materialized(scored, "tails"), tests).select("k", "total", "n", "log_p", (-F.col("log_q")).alias("score"))
     return full.join(levels, ["k", "total", "n"]).select("row_group", "term", "k", "total", "n", F.lit(N).cast("bigint").alias("collection"), "log_p", "score")
 
