@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tokensift.llm.dialogue import joined, words
+from tokensift.llm.dialogue import _words, joined, parts, words
 from tokensift.llm.leaks import ItemIndex, find_leaks, leaked
 
 ENGLISH = "listen the captain promised our striped teapot in papevi just as liril had warned us and my partner stole the rusty pillow the day we met under the stairs while somebody upstairs photographed his foreign telescope near the frozen lake before anyone could object".split()
@@ -91,6 +91,18 @@ def test_words():
     assert words(joined(["", "a b", "\x1d", "c"])).text.tolist() == [1, 1, 3]
 
 
+def test_words_in_parts():
+    text = joined([document(ENGLISH, 0, 30), "", document(RUSSIAN, 0, 30).encode("cp1251").decode("latin-1"), "end"] * 3)
+    whole = _words(text)
+    pieces = list(parts(text, 50))
+    assert len(pieces) > 20 and "".join(p for _, p in pieces) == text
+    long = joined([document(ENGLISH, 0, 30) + "\n"]) + " ".join([*ENGLISH] * 12_000)
+    a, b = words(long), _words(long)
+    for field in ("hash", "letters", "text", "start"):
+        assert getattr(a, field).tolist() == getattr(b, field).tolist()
+    assert whole.text.max() == 11
+
+
 def test_query(spark):
     docs = [(1, document(ENGLISH, 0, 30)), (1, document(ENGLISH, 0, 30)), (2, None), (3, ""), (4, document(ENGLISH, 0, 44) + "\n" + document(RUSSIAN, 0, 34)), (5, "x " * 100_000 + " ".join(FRENCH)), (None, " ".join(FRENCH))]
     df = spark.createDataFrame([(i, t, "clash", 0.5) for i, t in docs], "doc_id long, text string, passage string, share double")

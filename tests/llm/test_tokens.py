@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tokensift.llm.tokens import _SETTLED, TOKENIZER, Decoder, PieceEncoder, decode_ids, encode_texts, slices, token_offsets
+from tokensift.llm.tokens import _SETTLED, TOKENIZER, Decoder, PieceEncoder, decode_ids, encode_texts, slices, text_parts, token_offsets
 
 ALPHABET = "ab1 2'\n\t  '’éя ,.stmdrevl-　 ＡⅣ²😀漢‍़ש\x00\x85S"
 
@@ -74,6 +74,17 @@ def test_split_characters():
     assert decoder.decode(ids) == "漢😀" and "�" in decoder.decode(ids[:1])
 
 
+def test_parts_of_long_texts(library):
+    text = "".join(t + " " for t in samples()[7:600])
+    for size in (1, 7, 100, 10_000):
+        parts = list(text_parts(text, size))
+        assert "".join(p for _, p in parts) == text and all(text.startswith(p, at) for at, p in parts)
+        assert [i for p in library([p for _, p in parts]) for i in p] == library([text])[0]
+    long = ("one two's 3\n" * 300_000, "x")
+    ids, spans = split(PieceEncoder(TOKENIZER, spans=True), list(long))
+    assert ids == library(list(long)) and spans[0][-1] == [len(long[0]) - 1, len(long[0])]
+
+
 def test_slices_are_whole():
     column = pa.array(["a" * 10, None, "", "b" * 30, "c"])
     assert list(slices(column, 20)) == [(0, ["a" * 10, "", "", "b" * 30]), (4, ["c"])]

@@ -24,6 +24,7 @@ _SEPARATOR, _DROP, _ASCII, _DIGIT, _HIGH, _LETTER = range(6)
 #: Characters that recognition confuses, each before the one that stands for both.
 CONFUSED = "li 0o 1i 5s 8b"
 
+_WHITE = re.compile(r"[ \n]")
 #: Markup of the usual layouts, and sound descriptions in brackets.
 MARKUP = re.compile(r"<[^<>\n\x1d]{1,200}>|\{[^{}\n\x1d]{1,40}\}")
 SOUNDS = re.compile(r"\[(?!/?url)[^\[\]\x1d]{1,80}\]|\([^()\x1d]{1,80}\)|\*[^*\n\x1d]{1,60}\*")
@@ -95,8 +96,32 @@ def joined(texts: list[str]) -> str:
     return out
 
 
+def parts(text: str, size: int = 1 << 21):
+    """``text`` in parts of about ``size`` characters, cut at white space, each with its first position."""
+    at = 0
+    while len(text) - at > size:
+        cut = _WHITE.search(text, at + size)
+        if not cut:
+            break
+        yield at, text[at : cut.start()]
+        at = cut.start()
+    yield at, text[at:]
+
+
 def words(text: str) -> Words:
-    """The words of a joined text; a run of characters without a letter is no word."""
+    """The words of a joined text; a run of characters without a letter is no word.
+
+    However long a text is, no more than a part of it is spread out as arrays of characters at a time.
+    """
+    out, before = [], 0
+    for at, part in parts(text):
+        own = _words(part)
+        out.append(Words(own.hash, own.letters, own.text + before, own.start + at))
+        before += part.count(BREAK)
+    return out[0] if len(out) == 1 else Words(*(np.concatenate([getattr(w, f) for w in out]) for f in ("hash", "letters", "text", "start")))
+
+
+def _words(text: str) -> Words:
     kinds, values, behind = _tables()
     p = code_points(text)
     p = np.where(p < 0x10000, p, 0)

@@ -11,6 +11,7 @@ split character overlap in it.  Decoding reverses the byte table; bytes that for
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -111,6 +112,23 @@ def byte_spans(piece: str, widths: list[int]) -> list[tuple[int, int]]:
     return spans
 
 
+_PART = 1 << 21
+_EDGE = re.compile(r"(?<=[^\s])[ \n]")
+
+
+def text_parts(text: str, size: int = _PART) -> Iterator[tuple[int, str]]:
+    """``text`` in parts of about ``size`` characters with the first position of each, cut where a blank follows something
+    else: there a piece always ends, whatever comes after it."""
+    at = 0
+    while len(text) - at > size:
+        cut = _EDGE.search(text, at + size)
+        if not cut:
+            break
+        yield at, text[at : cut.start()]
+        at = cut.start()
+    yield at, text[at:]
+
+
 class PieceEncoder:
     """A tokenizer with memory: ids, and spans if asked for, of every piece met so far (at most ``keep`` pieces)."""
 
@@ -147,10 +165,23 @@ class PieceEncoder:
             self.size += len(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """All ids in a row, the number of ids of each text, and all spans if asked for."""
-        if not self.spans:
+        """All ids in a row, the number of ids of each text, and all spans if asked for.
+
+        Texts longer than a part are encoded part by part, so that memory is bounded by the ids.
+        """
+        if all(len(t) <= _PART for t in texts):
             return self._encode(texts)
-        return self._encode(texts)
+        ids, counts, spans = [], [], []
+        for text in texts:
+            n = 0
+            for at, part in text_parts(text):
+                own, count, covered = self._encode([part])
+                ids.append(own)
+                n += int(count[0])
+                if self.spans:
+                    spans.append(covered + np.int32(at))
+            counts.append(n)
+        return np.concatenate(ids), np.array(counts, np.int64), np.concatenate(spans) if self.spans else None
 
     def _encode(self, texts):
         joined = "".join(texts)
