@@ -22,13 +22,19 @@ def as_column(col: str | Column) -> Column:
 
 
 def is_ascii(col: str | Column) -> Column:
-    """Whether every character is below 0x80; null for null."""
-    return as_column(col).rlike(r"\A[\x00-\x7F]*\z")
+    """Whether every byte is below 0x80; null for null.  Valid UTF-8 has as many bytes as characters only then."""
+    c = as_column(col)
+    return F.is_valid_utf8(c) & (F.octet_length(c) == F.char_length(c))
+
+
+def pieces(col: str | Column) -> Column:
+    """The terms of an ASCII text, and perhaps empty strings at its ends: enough to look for a term."""
+    return F.split(F.lower(as_column(col)), SEPARATORS)
 
 
 def terms(col: str | Column) -> Column:
     """The terms of a text that is known to be ASCII."""
-    return F.filter(F.split(F.lower(as_column(col)), SEPARATORS), lambda t: t != "")
+    return F.filter(pieces(col), lambda t: t != "")
 
 
 def guarded(col: str | Column, value: Column, non_ascii: str = "error") -> Column:

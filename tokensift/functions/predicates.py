@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokensift.errors import BindError
-from tokensift.functions.analyzer import analyze_literal, as_column, guarded, terms
+from tokensift.functions.analyzer import analyze_literal, as_column, guarded, pieces
 
 
 def query_term(function: str, token: object) -> str | None:
@@ -55,7 +55,7 @@ def contains_token(col: str | Column | None, token: str | None, non_ascii: str =
     if col is None or token is None:
         return _null()
     c, term = as_column(col), query_term("contains_token", token)
-    test = _constant(c, True) if term is None else F.array_contains(terms(c), F.lit(term))
+    test = _constant(c, True) if term is None else F.array_contains(pieces(c), F.lit(term))
     return guarded(c, test, non_ascii)
 
 
@@ -70,9 +70,9 @@ def contains_all_tokens(col: str | Column | None, tokens: Sequence[str] | None,
     if not found:
         test = _constant(c, True)
     elif len(found) == 1:
-        test = F.array_contains(terms(c), F.lit(found[0]))
+        test = F.array_contains(pieces(c), F.lit(found[0]))
     else:
-        test = F.size(F.array_except(F.array(*map(F.lit, found)), terms(c))) == 0
+        test = F.size(F.array_except(F.array(*map(F.lit, found)), pieces(c))) == 0
         test = F.when(c.isNotNull(), test)
     return guarded(c, test, non_ascii)
 
@@ -85,5 +85,5 @@ def contains_any_tokens(col: str | Column | None, tokens: Sequence[str] | None,
     if vacuous or not found:
         test = _constant(c, vacuous)
     else:
-        test = F.arrays_overlap(terms(c), F.array(*map(F.lit, found)))
+        test = F.arrays_overlap(pieces(c), F.array(*map(F.lit, found)))
     return guarded(c, test, non_ascii)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokensift.functions import predicates as P
+from tokensift.functions.analyzer import is_ascii
 from tokensift.operators.index import InvertedIndex
 
 
@@ -216,7 +217,7 @@ def search(
             if sign:
                 return rows.join(ids, match, "left_semi")
             text = F.col(text_column)
-            present = text.isNotNull() if non_ascii == "error" else text.rlike(r"\A[\x00-\x7F]*\z")
+            present = text.isNotNull() if non_ascii == "error" else is_ascii(text)
             return rows.where(present).join(ids, match, "left_anti")
         except _NeedsScan:
             pass
