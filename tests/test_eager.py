@@ -44,6 +44,12 @@ def test_term_totals(spark):
     assert {r.term for r in dominant_terms(term_totals(p, e), 5).collect()} == {t for t, w in want.items() if w[0] * 5 >= total}
 
 
+def test_a_record_written_over_and_over(spark):
+    p = spark.range(20_000).selectExpr("-1L AS row_group", "'hot' AS term", "array(-1L, -64L, -65L, -128L, NULL, -1L) AS postings", "0 AS extra", "0 AS n_rows")
+    got = term_totals(p, spark.createDataFrame([(-1, "hot", 4, 0)], ENTRIES)).collect()
+    assert [tuple(r) for r in got] == [("hot", 4, 20_000, 1, 4)]
+
+
 def test_join_sums(spark):
     p, e, postings, entries, _ = tables(spark, 2)
     want = defaultdict(lambda: [0, 0])

@@ -44,30 +44,32 @@ def eager_join_aggregate(
 
 
 def term_totals(postings: DataFrame, entries: DataFrame) -> DataFrame:
-    """``term, n_rows, n_row_groups, n_records, entry_rows``: totals of every term over all row groups.
+    """``term, n_rows, n_records, n_row_groups, entry_rows``: totals of every term over all row groups.
 
     ``postings``: row_group, term, postings (lists may overlap, repeat, be empty or null); ``entries``: row_group, term,
-    postings_count (may repeat).  Both are reduced by (row_group, term), whose groups are bounded by the row group, so no
-    term is ever gathered in one task; the states are joined and rolled up by term with map-side combine.
+    postings_count (may repeat).  Both are reduced to one state by term before they meet, in steps whose groups are small
+    whatever the term: row ids to sets of up to 64 as one number, entries to one by row group.  All states are numbers,
+    combined before every shuffle, so no term and no record written over and over gathers in a task.
 
-    ``n_rows``: distinct row ids; a row id belongs to one row group only, so the counts of the row groups add up.
-    ``n_row_groups``: row groups with at least one row id.  ``n_records``: posting records as they stand.
-    ``entry_rows``: the same number as told by the dictionary (null if no entry is there).
+    ``n_rows``: distinct row ids.  ``n_records``: posting records as they stand.  ``n_row_groups``, ``entry_rows``: row groups
+    whose dictionary has the term, and its rows as told there (0 and null if it is in none).
     Null terms, null and empty lists and null row ids count nowhere; terms without any row id give no row.
     """
-    lists = postings.where(F.col("term").isNotNull() & (F.size("postings") > 0)).select("row_group", "term", "postings")
-    counts = entries.where(F.col("term").isNotNull()).select("row_group", "term", "postings_count")
-    ids = F.array_compact(F.array_distinct(F.flatten(F.collect_list("postings"))))
+    lists = postings.where(F.col("term").isNotNull() & (F.size("postings") > 0)).select("term", F.posexplode("postings").alias("at", "id"))
+    bit = F.expr("shiftleft(1L, CAST(pmod(id, 64) AS INT))")
+    sets = lists.groupBy("term", F.expr("id div 64 - CAST(id < 0 AND id % 64 <> 0 AS INT)").alias("word")).agg(
+        F.bit_or(bit).alias("bits"), F.count_if(F.col("at") == 0).alias("records"))
+    once = entries.where(F.col("term").isNotNull() & (F.col("postings_count") > 0)).groupBy("row_group", "term").agg(F.max("postings_count").alias("told"))
     totals = eager_join_aggregate(
-        lists, counts, ["row_group", "term"],
-        left_states={"ids": F.size(ids), "records": F.count("*")},
-        right_states={"told": F.max("postings_count")},
-        combine={"ids": F.coalesce("ids", F.lit(0)), "records": F.coalesce("records", F.lit(0)), "told": F.col("told")},
+        sets, once, ["term"],
+        left_states={"ids": F.sum(F.bit_count("bits")), "records": F.sum("records")},
+        right_states={"groups": F.count("*"), "told": F.sum("told")},
+        combine={"ids": F.coalesce("ids", F.lit(0)), "records": F.col("records"), "groups": F.coalesce("groups", F.lit(0)), "told": F.col("told")},
         rollup=["term"],
         rollup_states={
             "n_rows": F.sum("ids").cast("bigint"),
-            "n_row_groups": F.count_if(F.col("ids") > 0),
             "n_records": F.sum("records").cast("bigint"),
+            "n_row_groups": F.sum("groups").cast("bigint"),
             "entry_rows": F.sum("told").cast("bigint"),
         },
         how="left",

@@ -389,14 +389,13 @@ def p3_found(spark, d):
 
 
 @_query("""
-WITH ids AS (SELECT row_group, term, count(DISTINCT row_id) AS n FROM (
-               SELECT row_group, term, unnest(postings) AS row_id FROM term_postings WHERE term IS NOT NULL AND len(postings) > 0)
-             GROUP BY row_group, term),
+WITH ids AS (SELECT term, count(DISTINCT row_id) AS n_rows FROM (
+               SELECT term, unnest(postings) AS row_id FROM term_postings WHERE term IS NOT NULL) GROUP BY term),
 records AS (SELECT term, count(*) AS n_records FROM term_postings WHERE term IS NOT NULL AND len(postings) > 0 GROUP BY term),
-told AS (SELECT row_group, term, max(postings_count) AS c FROM sstable_dict_entry WHERE term IS NOT NULL GROUP BY row_group, term)
-SELECT term, sum(ids.n)::BIGINT AS n_rows, count(*) FILTER (ids.n > 0) AS n_row_groups, any_value(records.n_records) AS n_records,
-       sum(told.c)::BIGINT AS entry_rows
-FROM ids JOIN records USING (term) LEFT JOIN told USING (row_group, term) GROUP BY term""")
+told AS (SELECT term, count(*) AS g, sum(c)::BIGINT AS c FROM (SELECT row_group, term, max(postings_count) AS c FROM sstable_dict_entry
+         WHERE term IS NOT NULL AND postings_count > 0 GROUP BY row_group, term) GROUP BY term)
+SELECT term, n_rows, n_records, coalesce(g, 0) AS n_row_groups, c AS entry_rows
+FROM ids JOIN records USING (term) LEFT JOIN told USING (term) WHERE n_rows > 0""")
 def p3_term_totals(spark, d):
     return eager.term_totals(_postings(spark, d), _entries(spark, d))
 
