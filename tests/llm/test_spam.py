@@ -39,7 +39,7 @@ def pages():
     out += [
         (400, cues(["(wind howling)", "[door slams]", "*sighs*", "♪ ♪"] * 10), "host1", False), (401, cues(["Come on.", "Not now.", "Let's go!", "What?"]), "host1", False), (402, None, "host1", False), (403, "", None, False),
         (404, "\n".join(spam(r, "words")), None, True), (405, cues(speech(r, 5) + ["Bring the dog food, the car wax, the tent poles and a hair dryer for " + n for n in NAMES]), "host2", False),
-        (406, "buy dog food " * 50_000, "host3", True), (407, cues(["And the river runs, and the river runs to you"] * 30), "host2", False),
+        (None, "\\n".join(spam(r, "places")), "host2", True), (406, "buy dog food " * 50_000, "host3", True), (407, cues(["And the river runs, and the river runs to you"] * 30), "host2", False),
     ]
     return out
 

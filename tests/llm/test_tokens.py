@@ -68,6 +68,11 @@ def test_queries(spark):
     assert decode_ids(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).orderBy("doc_id").collect()[0].text is None
 
 
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(x'61ff62' AS STRING) AS text")
+    assert decode_ids(encode_texts(df)).first().text == "a\ufffdb"
+
+
 def test_split_characters():
     decoder = Decoder(TOKENIZER)
     ids = split(PieceEncoder(TOKENIZER), ["漢😀"])[0][0]

@@ -68,7 +68,7 @@ def _forms(texts: pd.Series) -> pd.Series:
 
 
 def _form(c: Column | str) -> Column:
-    return F.pandas_udf(_forms, T.StringType())(c)
+    return F.pandas_udf(_forms, T.StringType())(F.make_valid_utf8(c))
 
 
 def _marks(c: Column) -> Column:

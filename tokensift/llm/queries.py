@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,26 @@ pairs AS (SELECT row_group, term, max(postings_count)::BIGINT AS k FROM sstable_
           WHERE term IS NOT NULL AND postings_count > 0 GROUP BY row_group, term),
 totals AS (SELECT term, sum(k)::BIGINT AS total FROM pairs GROUP BY term)"""
 
+
+
+def _form_sql(c: str) -> str:
+    """``lookalike_form`` in DuckDB's SQL: one character at a time, then NFC."""
+    one, many = {}, {}
+    for point in (p for r in lookalikes._RANGES for p in r if p):
+        to = lookalikes.lookalike_form(chr(point))
+        if to != unicodedata.normalize("NFC", chr(point)):
+            (one if len(to) < 2 else many)[chr(point)] = to
+    kept = {k: v for k, v in one.items() if v}
+
+    def text(x) -> str:
+        return "'" + "".join(x).replace("'", "''") + "'"
+
+    out = f"translate({c}, {text([*kept, *(k for k, v in one.items() if not v)])}, {text(kept.values())})"
+    for k, v in many.items():
+        out = f"replace({out}, {text(k)}, {text(v)})"
+    return f"nfc_normalize({out})"
+
+
 ORACLE = {
     "p1_found": f"""
 WITH {_PAIRS}
@@ -138,3 +160,12 @@ SELECT term, coalesce(occurrences, 0) AS occurrences, coalesce(n_rows, 0) AS n_r
     "p6_round_trip": """
 SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS md5 FROM documents""",
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """All SQL; that of problem 5 is made from the character database when asked for."""
+    form = _form_sql("message")
+    return ORACLE | {"p5_found": f"""
+WITH k AS (SELECT message_id, message AS known, {form} AS form FROM known_messages),
+m AS (SELECT row_id, message, {form} AS form FROM logs)
+SELECT row_id, message_id FROM m JOIN k USING (form) WHERE message <> known"""}

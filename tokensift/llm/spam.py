@@ -99,7 +99,7 @@ def list_density(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 own = [pa.array(e[c], pa.int64()) for c in ("n_words", "n_list", "letters", "list_letters", "own")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *own, e["phrases"], e["stitched"]], names=["id", "host", "n_words", "n_list", "letters", "list_letters", "own", "phrases", "stitched"])
 
-    return df.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, host string, {COLUMNS}")
+    return df.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.make_valid_utf8(F.col(text_column)).alias("text")).mapInArrow(run, f"id {kind}, host string, {COLUMNS}")
 
 
 def replicated_phrases(pages: DataFrame, hosts: int = 3) -> DataFrame:

@@ -274,7 +274,8 @@ def slices(column: pa.Array, chars: int = 1 << 21) -> Iterator[tuple[int, list[s
 def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``<id>, ids``: the token ids of every text, without special tokens; [] for null and empty texts.
 
-    One row per input row, repeated rows included.  Strings that look like special tokens are ordinary text.
+    One row per input row, repeated rows included.  Strings that look like special tokens are ordinary text;
+    bytes that are not UTF-8 are U+FFFD.  Other columns are ignored; an empty table gives an empty one.
     """
     kind = df.schema[id_column].dataType.simpleString()
 
@@ -287,7 +288,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], names=[id_column, "ids"])
 
-    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
 def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -304,7 +305,7 @@ def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x), pa.int32())) for x in (ids, spans[:, 0], spans[:, 1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *lists], names=[id_column, "ids", "starts", "ends"])
 
-    return df.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_ids(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
