@@ -33,6 +33,21 @@ def test_lists(logs, tokens):
     assert values(logs, contains_any_tokens("msg", tokens)) == {i: brute(d, tokens, any) for i, d in ROWS}
 
 
+def test_long_lists(logs):
+    many = [f"w{i}" for i in range(20)]
+    for tokens in (many, [*many, "bob"], ["alice", "bob", "met"] * 9, ["Alice", "", *many]):
+        assert values(logs, contains_all_tokens("msg", tokens)) == {i: brute(d, tokens, all) for i, d in ROWS}
+        assert values(logs, contains_any_tokens("msg", tokens)) == {i: brute(d, tokens, any) for i, d in ROWS}
+
+
+def test_terms_of_any_characters(spark):
+    odd = ["a.b", "a+b", "[x]", "\\\\E", "\\\\Q", "$1", "^", "a\x00b", "\x1f", "it's", "(", "|", "\"q\"", "x\x08y", "{1}", "#", "-", "~"]
+    rows = list(enumerate([*odd, *(f"pre {t} post" for t in odd), *(f"{t}z" for t in odd), *(f"z{t}" for t in odd), "axb aab x 1", ""]))
+    df = spark.createDataFrame(rows, "id int, msg string").cache()
+    for t in odd:
+        assert values(df, contains_token("msg", t)) == {i: brute(d, [t], all) if "\x1f" not in d + t else t in d.split(" ") for i, d in rows}
+
+
 def test_identities(logs):
     a, b = contains_token("msg", "alice"), contains_token("msg", "bob")
     both, either = contains_all_tokens("msg", ["alice", "bob"]), contains_any_tokens("msg", ["alice", "bob"])

@@ -7,12 +7,18 @@ stands, even where the optimizer would never evaluate it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokensift.errors import BindError
-from tokensift.functions.analyzer import analyze_literal, as_column, guarded, pieces
+from tokensift.functions.analyzer import analyze_literal, as_column, guarded, has_term, pieces
+
+
+#: Up to so many terms are sought one by one.
+FEW = 8
 
 
 def query_term(function: str, token: object) -> str | None:
@@ -55,25 +61,24 @@ def contains_token(col: str | Column | None, token: str | None, non_ascii: str =
     if col is None or token is None:
         return _null()
     c, term = as_column(col), query_term("contains_token", token)
-    test = _constant(c, True) if term is None else F.array_contains(pieces(c), F.lit(term))
+    test = _constant(c, True) if term is None else has_term(c, term)
     return guarded(c, test, non_ascii)
 
 
 def contains_all_tokens(col: str | Column | None, tokens: Sequence[str] | None, non_ascii: str = "error") -> Column:
     """Whether every token is among the terms of ``col``; true for an empty list, null if either argument is null.
 
-    The text is analyzed once for the whole list.
+    Short lists are sought in the text one by one; for longer ones it is analyzed once.
     """
     if col is None or tokens is None:
         return _null()
     c, (found, _) = as_column(col), query_terms("contains_all_tokens", tokens)
     if not found:
         test = _constant(c, True)
-    elif len(found) == 1:
-        test = F.array_contains(pieces(c), F.lit(found[0]))
+    elif len(found) <= FEW:
+        test = reduce(and_, (has_term(c, t) for t in found))
     else:
-        test = F.size(F.array_except(F.array(*map(F.lit, found)), pieces(c))) == 0
-        test = F.when(c.isNotNull(), test)
+        test = F.when(c.isNotNull(), F.size(F.array_except(F.array(*map(F.lit, found)), pieces(c))) == 0)
     return guarded(c, test, non_ascii)
 
 
@@ -84,6 +89,8 @@ def contains_any_tokens(col: str | Column | None, tokens: Sequence[str] | None,
     c, (found, vacuous) = as_column(col), query_terms("contains_any_tokens", tokens)
     if vacuous or not found:
         test = _constant(c, vacuous)
+    elif len(found) <= FEW:
+        test = reduce(or_, (has_term(c, t) for t in found))
     else:
         test = F.arrays_overlap(pieces(c), F.array(*map(F.lit, found)))
     return guarded(c, test, non_ascii)
