@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokensift.sources.shipping import ship
+
 _CONTAINER = pa.schema([
     ("route", pa.string()), ("prefix", pa.string()), ("suffixes", pa.list_(pa.string())),
     ("occurrences", pa.list_(pa.int64())), ("n_rows", pa.list_(pa.int64())),
@@ -84,6 +86,7 @@ def heavy_prefixes(terms: DataFrame, cells: int = 256, depth: int = 24) -> froze
                 left = left.filter(pc.is_in(pc.utf8_slice_codeunits(left, 0, d), value_set=found.field("values")))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(weights, pa.int64())], names=["prefix", "weight"])
 
+    ship(terms.sparkSession)
     parts = terms.select("term").mapInArrow(census, "prefix string, weight bigint")
     sums = parts.groupBy("prefix").agg(F.sum("weight").alias("weight"))
     weights = {r["prefix"]: r["weight"] for r in sums.where(F.col("weight") > 0).orderBy(F.desc("weight"), "prefix").limit(4 * depth * cells).collect()}

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokensift.sources.shipping import ship
 from tokensift.sources.tables import materialized
 
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -119,6 +120,7 @@ def distinctive_terms(postings: DataFrame, entries: DataFrame) -> DataFrame:
     k of the term's ``total`` rows lie in the row group, which has n of the ``collection``'s rows.  An empty collection gives no row; a row group
     that no posting list knows gives none either; a collection of one row group gives score 0 throughout.
     """
+    ship(postings.sparkSession)
     pairs, sizes, N = pair_counts(postings, entries)
     totals = pairs.groupBy("term").agg(F.sum("k").alias("total"))
     full = materialized(pairs.join(totals, "term").join(sizes, "row_group"), "pairs")

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokensift.sources.shipping import ship
+
 SUMMARY = "value string, n bigint, error bigint, total bigint"
 _ARROW = pa.schema([("value", pa.string()), ("n", pa.int64()), ("error", pa.int64()), ("total", pa.int64())])
 
@@ -80,6 +82,7 @@ def summarize(df: DataFrame, column: str, counters: int = 1024, fan_in: int = 64
             own.merge(rest.column("value").to_pylist(), rest.column("n").to_pylist(), pc.sum(head.column("error")).as_py() or 0, pc.sum(head.column("total")).as_py() or 0)
         yield own.rows()
 
+    ship(df.sparkSession)
     parts = df.select(F.col(column).cast("string").alias("value")).mapInArrow(scan, SUMMARY)
     grouped = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(fan_in))).repartition(fan_in, "part").drop("part")
     return grouped.mapInArrow(merge, SUMMARY).coalesce(1).mapInArrow(merge, SUMMARY)

@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tokensift.llm.dialogue import MARKUP, SOUNDS, joined, scrambled, words
 from tokensift.llm.tokens import slices
+from tokensift.sources.shipping import ship
 
 SHINGLE, EXACT = 5, 3
 
@@ -200,6 +201,7 @@ def find_leaks(
     the final distinct of repeated rows.  Null and empty texts and passages leak nothing; items of fewer than five words of
     two letters or more are not searched for.  Words of one letter and numbers don't count.
     """
+    ship(documents.sparkSession)
     kind, item_kind = documents.schema[id_column].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_column].dataType)
     rows = items.where(F.col(passage_column).isNotNull()).select(item_column, passage_column).orderBy(item_column).toLocalIterator()

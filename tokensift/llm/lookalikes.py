@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tokensift.sources.shipping import ship
 from tokensift.sources.tables import materialized
 
 #: Letters that look like a Latin letter, each before the letter it looks like.
@@ -82,6 +83,7 @@ def canonical_forms(df: DataFrame, text_column: str, catalogue: DataFrame | None
     ``catalogue``: one column of texts that take part and are preferred as members.  Null gives null, '' and texts of
     invisible characters alone give ''.  Repeated rows stay.  ``df`` may have any other columns but ``canonical``.
     """
+    ship(df.sparkSession)
     mapped, text = "__mapped", F.col(text_column)
     plain = df.where(text.isNull() | text.rlike(PLAIN)).withColumn("canonical", text)
     keyed = materialized(df.where(~text.rlike(PLAIN)).withColumn(mapped, _form(text)), "mapped")  # read three times

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tokensift.llm.dialogue import BREAK, MARKUP, joined, scrambled, word_hashes, words
 from tokensift.llm.tokens import slices
+from tokensift.sources.shipping import ship
 from tokensift.sources.tables import materialized
 
 #: Function words of the corpus languages; not those that advertising is full of (for, no, me, car).
@@ -89,6 +90,7 @@ def page_evidence(texts: list[str], functions: np.ndarray) -> dict[str, list]:
 
 def list_density(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """``id, host`` and the evidence of every row of ``df``; null and empty texts have no words."""
+    ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

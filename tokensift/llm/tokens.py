@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokensift.llm.codepoints import code_points, utf8_lengths
+from tokensift.sources.shipping import ship
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -277,6 +278,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     One row per input row, repeated rows included.  Strings that look like special tokens are ordinary text;
     bytes that are not UTF-8 are U+FFFD.  Other columns are ignored; an empty table gives an empty one.
     """
+    ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +295,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``<id>, ids, starts, ends``: token ids with the characters that each token covers, ends exclusive."""
+    ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +313,7 @@ def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def decode_ids(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """``<id>, text``: ids back to text; null ids give null, [] gives ''."""
+    ship(encoded.sparkSession)
     kind = encoded.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
