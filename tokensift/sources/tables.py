@@ -43,3 +43,13 @@ def materialized(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+    """``df`` over all cores if it is so small that a scan would leave most of them idle, for work that is heavy by row.
+
+    A table of more than ``least`` bytes a core comes in enough partitions from its files and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < least * cores else df
