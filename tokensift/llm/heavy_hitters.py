@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokensift.sources.shipping import ship
@@ -58,7 +58,7 @@ class MisraGries:
         ], schema=_ARROW)
 
 
-def summarize(df: DataFrame, column: str, counters: int = 1024, fan_in: int = 64) -> DataFrame:
+def summarize(df: DataFrame, column: str, counters: int = 1024, fan_in: int = 16) -> DataFrame:
     """One Misra-Gries summary of the whole ``column``: ``value, n, error, total``.
 
     The row with a null value carries ``error`` and ``total``.  Merged as a tree of depth two: about ``fan_in`` groups of

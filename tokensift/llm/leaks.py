@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokensift.llm.dialogue import MARKUP, SOUNDS, joined, scrambled, words
 from tokensift.llm.tokens import slices
 from tokensift.sources.shipping import ship
+from tokensift.sources.tables import spread
 
 SHINGLE, EXACT = 5, 3
 
@@ -205,7 +206,7 @@ def find_leaks(
     kind, item_kind = documents.schema[id_column].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
     item_type = to_arrow_type(items.schema[item_column].dataType)
     rows = items.where(F.col(passage_column).isNotNull()).select(item_column, passage_column).orderBy(item_column).toLocalIterator()
-    texts = documents.where(F.col(text_column).isNotNull()).select(F.col(id_column), F.make_valid_utf8(F.col(text_column)))
+    texts = spread(documents.where(F.col(text_column).isNotNull()).select(F.col(id_column), F.make_valid_utf8(F.col(text_column))))
     schema = f"`{id_column}` {kind}, `{item_column}` {item_kind}, share double"
     out = None
 

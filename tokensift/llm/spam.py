@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokensift.llm.dialogue import BREAK, MARKUP, joined, scrambled, word_hashes, words
 from tokensift.llm.tokens import slices
 from tokensift.sources.shipping import ship
-from tokensift.sources.tables import materialized
+from tokensift.sources.tables import materialized, spread
 
 #: Function words of the corpus languages; not those that advertising is full of (for, no, me, car).
 FUNCTION_WORDS = """
@@ -101,7 +101,8 @@ def list_density(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 own = [pa.array(e[c], pa.int64()) for c in ("n_words", "n_list", "letters", "list_letters", "own")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), *own, e["phrases"], e["stitched"]], names=["id", "host", "n_words", "n_list", "letters", "list_letters", "own", "phrases", "stitched"])
 
-    return df.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.make_valid_utf8(F.col(text_column)).alias("text")).mapInArrow(run, f"id {kind}, host string, {COLUMNS}")
+    texts = df.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"), F.make_valid_utf8(F.col(text_column)).alias("text"))
+    return spread(texts).mapInArrow(run, f"id {kind}, host string, {COLUMNS}")
 
 
 def replicated_phrases(pages: DataFrame, hosts: int = 3) -> DataFrame:

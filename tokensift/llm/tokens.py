@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tokensift.llm.codepoints import code_points, utf8_lengths
 from tokensift.sources.shipping import ship
+from tokensift.sources.tables import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -290,7 +291,7 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], names=[id_column, "ids"])
 
-    return df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return spread(df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column)))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
 
 
 def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -308,7 +309,7 @@ def token_offsets(df: DataFrame, id_column: str = "doc_id", text_column: str = "
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x), pa.int32())) for x in (ids, spans[:, 0], spans[:, 1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *lists], names=[id_column, "ids", "starts", "ends"])
 
-    return df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return spread(df.select(F.col(id_column), F.make_valid_utf8(F.col(text_column)))).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_ids(encoded: DataFrame, id_column: str = "doc_id", ids_column: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
