@@ -45,7 +45,7 @@ def materialized(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, least: int = 8 << 20) -> DataFrame:
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
     """``df`` over all cores if it is so small that a scan would leave most of them idle, for work that is heavy by row.
 
     A table of more than ``least`` bytes a core comes in enough partitions from its files and is not shuffled.
