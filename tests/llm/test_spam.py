@@ -1,6 +1,8 @@
 import random
 
-from tokensift.llm.spam import list_density, page_scores, replicated_phrases, spam_pages
+import numpy as np
+
+from tokensift.llm.spam import Stream, covered, page_scores, page_shapes, spam_pages, stuffing
 
 NAMES = ["Babess", "Vovejen", "Pimazath", "Bohibil", "Nejeth", "Lejass", "Jifovi", "Zimafith", "Hohevi", "Takil", "Rekoni", "Tenel", "Vizo", "Dononith", "Dobiss", "Taza"]
 SPEECH = ["The captain left our rusty barometer in {} on 7 November.", "If your brother borrowed the wagon, then {} is to blame.", "Listen, did you know that she counted the parcel for {}?", "We were at the border with him when {} sold it."]
@@ -30,7 +32,7 @@ def cues(lines):
 
 def pages():
     r, out = random.Random(7), []
-    for i, kind in enumerate(KINDS * 3):
+    for i, kind in enumerate(KINDS * 4):
         lines = spam(r, kind)
         out.append((i, cues(lines) if i % 2 else "\n".join(lines), f"host{i % 5}", True))
         out.append((100 + i, cues(speech(r, 2) + spam(r, kind)), f"host{i % 4}", True))
@@ -39,28 +41,69 @@ def pages():
     out += [
         (400, cues(["(wind howling)", "[door slams]", "*sighs*", "♪ ♪"] * 10), "host1", False), (401, cues(["Come on.", "Not now.", "Let's go!", "What?"]), "host1", False), (402, None, "host1", False), (403, "", None, False),
         (404, "\n".join(spam(r, "words")), None, True), (405, cues(speech(r, 5) + ["Bring the dog food, the car wax, the tent poles and a hair dryer for " + n for n in NAMES]), "host2", False),
-        (None, "\\n".join(spam(r, "places")), "host2", True), (406, "buy dog food " * 50_000, "host3", True), (407, cues(["And the river runs, and the river runs to you"] * 30), "host2", False),
+        (None, "\n".join(spam(r, "places")), "host2", True), (406, "buy dog food " * 50_000, "host3", True), (407, cues(["And the river runs, and the river runs to you"] * 30), "host2", False),
     ]
     return out
 
 
+POLISH = ["Kapitan zostawił nasz stary zegar w {} i nikt o tym nie wiedział", "Jeśli twój brat pożyczył wóz od {} to nie jest jego wina", "Posłuchaj, czy wiesz że ona liczyła paczki dla {}"]
+
+
+def other():
+    """Speech of a language that the collection hardly has: punctuated, and repetitive without any punctuation."""
+    r = random.Random(3)
+    lines = [r.choice(POLISH).format(r.choice(NAMES)) for _ in range(60)]
+    return [(500, cues([x + "." for x in lines]), "host1", False), (501, cues(lines), "host2", False), (502, cues([POLISH[0].format("Tenel")] * 40), "host3", False), (503, "\n".join(lines), "host3", False)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, h, 1, 2) for i, t, h, _ in rows], "doc_id long, text string, source string, id int, uid int")
+
+
 def test_pages(spark):
-    rows = pages()
-    df = spark.createDataFrame([(i, t, h, 1) for i, t, h, _ in rows], "doc_id long, text string, source string, id int").repartition(3)
+    rows = pages() + other()
+    df = frame(spark, rows).repartition(3)
     scores = page_scores(df).cache()
     assert scores.count() == sum(1 for _, t, *_ in rows if t and t.strip() and any(c.isalpha() for c in t)) - 1  # 400 has no word left
     assert {r.doc_id for r in spam_pages(scores).collect()} == {i for i, *_, s in rows if s}
 
 
+def test_replicated_phrases_decide(spark):
+    df = frame(spark, pages() + other())
+    assert spam_pages(page_scores(df, hosts=10**9)).count() == 0
+    alone = frame(spark, [(i, t, "one", s) for i, t, _, s in pages()])
+    assert spam_pages(page_scores(alone)).count() == 0  # nothing is replicated on other hosts
+    shaped = page_scores(df).where("list_share > 0.5 AND stitched_share <= 0.5")
+    assert {501, 502, 503} <= {r.doc_id for r in shaped.collect()}
+
+
 def test_shapes_do_not_matter(spark):
-    rows = pages()
-    df = spark.createDataFrame([(i, t, h) for i, t, h, _ in rows], "doc_id long, text string, source string")
+    df = frame(spark, pages())
     one, many = (sorted(map(tuple, page_scores(df.repartition(k)).collect()), key=repr) for k in (1, 9))
     assert one == many
     assert page_scores(df.limit(0)).count() == 0
 
 
-def test_hosts(spark):
-    df = spark.createDataFrame([(i, "alpha beta gamma " * 3, h) for i, h in enumerate(["a", "a", "b", None])], "doc_id long, text string, source string")
-    density = list_density(df)
-    assert replicated_phrases(density, 2).count() == 3 and replicated_phrases(density, 3).count() == 0
+def test_stuffing_against_brute_force(spark):
+    rows = [(i, t, h, s) for i, t, h, s in pages() + other() if t]
+    seen = {}
+    for _, text, host, _ in rows:
+        value, _, listed = Stream([text]).phrase_counts()
+        for v, in_list in zip(value.view(np.int64).tolist(), listed.tolist()):
+            hosts, counts = seen.setdefault(v, (set(), [0, 0]))
+            counts[0 if in_list else 1] += 1
+            if in_list and host:
+                hosts.add(host)
+    want = {(v, c[0]) for v, (hosts, c) in seen.items() if len(hosts) >= 3 and c[0] >= c[1]}
+    assert want and {tuple(r) for r in stuffing(page_shapes(frame(spark, rows).repartition(4))).collect()} == want
+
+
+def test_covered():
+    s = Stream(["alpha beta gamma delta. " * 2, "", "one #tag www.some.where/else two"])
+    assert s.ends.tolist() == [0, 8, 8, 12]
+    values, places = s.shingles(0)
+    assert [len(p) for p in places] == [7, 6]
+    known = np.zeros(len(values), bool)
+    known[places[1][1]] = True  # beta _ delta
+    assert covered(8, known, places).tolist() == [False, True, True, True, False, True, True, True]
+    assert not s.listed.any()
