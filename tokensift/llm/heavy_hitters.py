@@ -61,9 +61,10 @@ class MisraGries:
 def summarize(df: DataFrame, column: str, counters: int = 1024, fan_in: int = 16) -> DataFrame:
     """One Misra-Gries summary of the whole ``column``: ``value, n, error, total``.
 
-    The row with a null value carries ``error`` and ``total``.  Merged as a tree of depth two: about ``fan_in`` groups of
-    tasks first, then these; no task sees more than its share of summaries, each of at most ``counters`` rows.
-    Nulls are not counted; an empty column gives error 0 and total 0.
+    The row with a null value carries ``error`` and ``total``.  Summaries are merged in levels with a shuffle before each:
+    a task gets those of ``fan_in`` tasks, at most ``fan_in * (counters + 1)`` rows, however many tasks the column takes; the
+    number of levels is the logarithm of that.  It is read from the plan, so a ``df`` that must be shuffled itself is
+    shuffled for that too.  Nulls are not counted; an empty column gives error 0 and total 0.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,13 +84,26 @@ def summarize(df: DataFrame, column: str, counters: int = 1024, fan_in: int = 16
         yield own.rows()
 
     ship(df.sparkSession)
-    parts = df.select(F.col(column).cast("string").alias("value")).mapInArrow(scan, SUMMARY)
-    grouped = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(fan_in))).repartition(fan_in, "part").drop("part")
-    return grouped.mapInArrow(merge, SUMMARY).coalesce(1).mapInArrow(merge, SUMMARY)
+    values = df.select(F.col(column).cast("string").alias("value"))
+    summaries, tasks = values.mapInArrow(scan, SUMMARY), max(1, values._jdf.queryExecution().toRdd().getNumPartitions())
+    while True:
+        tasks = -(-tasks // fan_in)
+        # neighbours merge: task i of a level goes to task i div fan_in of the next
+        part = F.floor(F.spark_partition_id() / fan_in).cast("int")
+        summaries = summaries.withColumn("part", part).repartitionById(tasks, "part").drop("part").mapInArrow(merge, SUMMARY)
+        if tasks == 1:
+            return summaries
+
+
+def _bounded(df: DataFrame, column: str, counters: int):
+    """The summary's head, and its at most ``counters`` rows as a local table."""
+    rows = summarize(df, column, counters).collect()  # at most counters + 1 rows
+    head = next((r.asDict() for r in rows if r["value"] is None), {"error": 0, "total": 0})  # a plan known to be empty has no task
+    return head, df.sparkSession.createDataFrame([tuple(r) for r in rows if r["value"] is not None], SUMMARY)
 
 
-def frequent_values(df: DataFrame, column: str, counters: int = 1024) -> DataFrame:
-    """``value, at_least, at_most``: bounds of the count of every value that the summary holds.
+def bounds(df: DataFrame, column: str, counters: int = 1024) -> DataFrame:
+    """``value, at_least, at_most``: bounds of the count of every value that the summary holds, at most ``counters``.
 
     Every value with more than total / (counters + 1) rows is there.
     """
@@ -97,25 +111,42 @@ def frequent_values(df: DataFrame, column: str, counters: int = 1024) -> DataFra
     return rest.select("value", F.col("n").alias("at_least"), (F.col("n") + F.lit(head["error"])).alias("at_most"))
 
 
-def _bounded(df: DataFrame, column: str, counters: int):
-    """The summary's head, and its at most ``counters`` rows as a local table."""
-    rows = summarize(df, column, counters).collect()  # at most counters + 1 rows
-    head = next(r for r in rows if r["value"] is None)
-    return head, df.sparkSession.createDataFrame([tuple(r) for r in rows if r["value"] is not None], SUMMARY)
+def _counted(df: DataFrame, column: str, proposed: DataFrame) -> DataFrame:
+    """``value, n``: exact counts of the proposed values, whose number is bounded; every task sends a row for each at most."""
+    values = df.select(F.col(column).cast("string").alias("value"))
+    return values.join(F.broadcast(proposed.select("value")), "value", "left_semi").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def frequent_values(df: DataFrame, column: str, share: int = 1024) -> DataFrame:
+    """``value, n``: every value with more than 1/``share`` of the rows that are not null, with its exact count.
+
+    A summary of ``share`` counters cannot miss one; a counting pass over its values decides.
+    """
+    head, proposed = _bounded(df, column, share)
+    return _counted(df, column, proposed).where(F.col("n") * F.lit(share) > F.lit(head["total"]))
 
 
-def top_values(df: DataFrame, column: str, k: int, counters: int = 1024) -> DataFrame:
+def top_values(df: DataFrame, column: str, k: int, counters: int = 1024, most: int = 65_536) -> DataFrame:
     """``value, n``: the ``k`` most frequent values with exact counts; of equal counts the smaller value comes first.
 
-    The summary proposes, one counting pass over its values (at most ``counters``, so it sends few rows) decides.  A value
-    that the summary misses has at most ``error`` rows; if the k-th count is not above that, the summary is taken again
-    with four times the counters until it is, or until nothing was ever subtracted and the summary is exact.
+    The summary proposes and a counting pass over its values decides.  A value that the summary misses has at most ``error``
+    rows: if the k-th count is above that, or nothing was ever subtracted, the answer is proven.  If it is not, that count
+    tells how many counters prove it, and with these, if they are no more than ``most``, both passes are made once more.
+    Counts flatter than that give no value an edge that bounded memory could see: then all values are counted by hash
+    aggregation, spilled and distributed, and the ``k`` first are taken.  No more than max(counters, most) values leave
+    the tasks for the driver.
     """
     while True:
         head, proposed = _bounded(df, column, counters)
-        names = [r["value"] for r in proposed.select("value").collect()]
-        exact = df.where(F.col(column).isin(names)).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")) if names else proposed.select("value", "n")
-        rows = exact.orderBy(F.desc("n"), "value").limit(k).collect()
-        if head["error"] == 0 or len(rows) == k and rows[-1]["n"] > head["error"]:
-            return df.sparkSession.createDataFrame([tuple(r) for r in rows], "value string, n bigint")
-        counters *= 4
+        rows = _counted(df, column, proposed).orderBy(F.desc("n"), "value").limit(k).collect()
+        last = rows[-1]["n"] if len(rows) == k else 0
+        if head["error"] == 0 or last > head["error"]:
+            break
+        # total / (counters + 1) is below the k-th count so far, which can only be too small
+        needed = head["total"] // last + 1 if last else most
+        if not counters < needed <= most:
+            exact = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+            rows = exact.orderBy(F.desc("n"), "value").limit(k).collect()
+            break
+        counters = needed
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], "value string, n bigint")

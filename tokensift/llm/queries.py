@@ -34,7 +34,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_frequent(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_hitters.frequent_values(table(spark, d, "posting_inserts", "term"), "term")
+    """All terms with more than a thousandth of the rows."""
+    return heavy_hitters.frequent_values(table(spark, d, "posting_inserts", "term"), "term", 1000).withColumnRenamed("value", "term")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -146,6 +147,9 @@ q AS (SELECT k, total, n, least(0.0, min(raw) OVER (ORDER BY lp DESC)) AS lq FRO
 SELECT row_group, term, k, total, n, round(abs(lq), 3) AS score FROM f JOIN q USING (k, total, n)""",
     "p2_found": """
 SELECT term FROM posting_inserts WHERE term IS NOT NULL GROUP BY term ORDER BY count(*) DESC, term LIMIT 15""",
+    "p2_frequent": """
+SELECT term, count(*) AS n FROM posting_inserts WHERE term IS NOT NULL GROUP BY term
+HAVING count(*) * 1000 > (SELECT count(term) FROM posting_inserts)""",
     "p4_found": """
 WITH pairs AS (SELECT DISTINCT term, row_id FROM (SELECT term, unnest(postings) AS row_id FROM term_postings WHERE term IS NOT NULL)
                WHERE row_id IS NOT NULL),
