@@ -1,29 +1,51 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tokensift.llm.burst_trie import BurstTrie, heavy_prefixes, indexed_rows, mark_terms, route_of, term_frequencies, trie_counts
+from tokensift.llm.burst_trie import BurstTrie, indexed_rows, mark_terms, route_bounds, routes_of, term_frequencies, trie_containers, trie_counts
 
 POSTINGS, ENTRIES = "row_group long, term string, postings array<long>, mark string", "row_group long, term string, postings_count long, mark string"
 
 
+def node_table(adds):
+    return pa.table({"term": pa.array([x[0] for x in adds], pa.string()), "occurrences": pa.array([x[1] for x in adds], pa.int64()), "n_rows": pa.array([x[2] for x in adds], pa.int64())})
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.text("abé😀", max_size=6), st.integers(0, 5), st.integers(0, 3)), max_size=80), st.integers(1, 5))
+@given(st.lists(st.tuples(st.text("abé😀\U0010ffff", max_size=6), st.integers(0, 5), st.integers(0, 3)), max_size=80), st.integers(1, 5))
 def test_trie_counts_like_a_table(adds, burst):
-    trie, want = BurstTrie(burst), defaultdict(lambda: [0, 0])
+    trie, want = BurstTrie(burst, 7), defaultdict(lambda: [0, 0])
+    for i in range(0, len(adds), 9):
+        trie.add(node_table(adds[i : i + 9]))
     for t, a, b in adds:
-        trie.add(t, a, b)
         want[t][0] += a
         want[t][1] += b
-    got = {prefix + s: c for prefix, leaf in trie.containers() for s, c in leaf.items()}
-    assert got == dict(want)
+    table = trie.sorted()
+    terms = table["term"].to_pylist()
+    assert dict(zip(terms, map(list, zip(table["occurrences"].to_pylist(), table["n_rows"].to_pylist())))) == dict(want)
+    nodes = list(trie.containers(terms))
+    assert [i for low, high, _ in nodes for i in range(low, high)] == list(range(len(terms)))
+    assert all(high - low <= burst and len({t[:shared] for t in terms[low:high]}) == 1 for low, high, shared in nodes)
 
 
 def test_routes():
-    heavy = frozenset(["t", "tr", "tra"])
-    assert [route_of(x, heavy) for x in ("", "a", "t", "tx", "tra", "trace", "trb")] == ["", "a", "t", "tx", "tra", "trac", "trb"]
+    bounds = ["", "t", "tra"]
+    assert [routes_of(bounds, x, x)[0] for x in ("", "a", "t", "tr", "tra", "trace", "u")] == [0, 0, 1, 1, 2, 2, 2]
+
+
+def test_a_shared_prefix_spreads(spark):
+    """A hundred thousand terms that begin with the same 60 characters go over many routes, evenly."""
+    df = spark.range(100_000).select(F.format_string("x" * 60 + "%07d", F.col("id") * 7919 % 1_000_003).alias("term"), F.lit(1).alias("occurrences"), F.lit(1).alias("n_rows")).repartition(6)
+    bounds = route_bounds(trie_containers(df), 2000)
+    assert len(bounds) >= 30 and bounds == sorted(set(bounds))
+    sizes = Counter(routes_of(bounds, r.term, r.term)[0] for r in df.select("term").collect())
+    assert max(sizes.values()) < 15_000
+    counts = trie_counts(df, 2000)
+    assert counts.count() == 100_000 and counts.where("occurrences <> 1 OR n_rows <> 1").count() == 0
 
 
 def terms(seed, n=3000):
@@ -39,9 +61,8 @@ def test_counts_by_routes(spark):
         if t is not None:
             want[t][0] += i % 3
             want[t][1] += i % 11 != 0
-    assert any(len(p) >= 6 for p in heavy_prefixes(df, 8))
-    for cells, burst in ((2, 3), (8, 50), (256, 4096)):
-        rows = trie_counts(df, cells, burst).collect()
+    for entries, burst in ((10, 3), (100, 50), (1 << 18, 512)):
+        rows = trie_counts(df, entries, burst).collect()
         assert len(rows) == len(want) and {r.term: [r.occurrences, r.n_rows] for r in rows} == dict(want)
 
 
