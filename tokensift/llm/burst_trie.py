@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokensift.sources.shipping import ship
+from tokensift.llm.shipping import ship
 from tokensift.sources.tables import materialized
 
 #: Entries from one mark of a task to the next.

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokensift.sources.shipping import ship
+from tokensift.llm.shipping import ship
 from tokensift.sources.tables import materialized
 
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokensift.sources.shipping import ship
+from tokensift.llm.shipping import ship
 
 SUMMARY = "value string, n bigint, error bigint, total bigint"
 _ARROW = pa.schema([("value", pa.string()), ("n", pa.int64()), ("error", pa.int64()), ("total", pa.int64())])

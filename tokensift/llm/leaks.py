@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tokensift.llm.dialogue import MARKUP, SOUNDS, joined, scrambled, words
+from tokensift.llm.shipping import ship
+from tokensift.llm.splitting import spread
 from tokensift.llm.tokens import slices
-from tokensift.sources.shipping import ship
-from tokensift.sources.tables import spread
 
 SHINGLE, EXACT = 5, 3
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokensift.sources.shipping import ship
+from tokensift.llm.shipping import ship
 from tokensift.sources.tables import materialized
 
 #: Letters that look like a Latin letter, each before the letter it looks like.

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tokensift.llm.dialogue import MARKUP, joined, scrambled, words
+from tokensift.llm.shipping import ship
 from tokensift.llm.splitting import split_join, spread
 from tokensift.llm.tokens import slices
-from tokensift.sources.shipping import ship
 from tokensift.sources.tables import materialized
 
 #: Words that no sentence goes on for.  A dense phrase stands at least once in DENSE words of its page and LEAST times, and

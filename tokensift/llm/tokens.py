@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokensift.llm.codepoints import code_points, utf8_lengths
-from tokensift.sources.shipping import ship
-from tokensift.sources.tables import spread
+from tokensift.llm.shipping import ship
+from tokensift.llm.splitting import spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
