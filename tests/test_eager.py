@@ -44,10 +44,20 @@ def test_term_totals(spark):
     assert {r.term for r in dominant_terms(term_totals(p, e), 5).collect()} == {t for t, w in want.items() if w[0] * 5 >= total}
 
 
+def test_the_join_decides(spark):
+    """Lists without an entry are told apart: no dictionary, no listed rows."""
+    p, e, _, _, pairs = tables(spark)
+    alone = term_totals(p, e.limit(0))
+    assert {r.term: (r.n_rows, r.unlisted_rows, r.n_row_groups, r.entry_rows) for r in alone.collect()} == {t: (0, sum(len(i) for (_, u), i in pairs.items() if u == t), 0, None) for t in {t for (_, t), i in pairs.items() if i}}
+    assert dominant_terms(alone).count() == 0 and term_totals(p.limit(0), e).count() == 0
+    without = term_totals(p, e.where("row_group <> 3"))
+    assert {r.term: r.unlisted_rows for r in without.collect()} == {t: len(pairs.get((3, t), ())) for t in {t for (_, t), i in pairs.items() if i}}
+
+
 def test_a_record_written_over_and_over(spark):
     p = spark.range(20_000).selectExpr("-1L AS row_group", "'hot' AS term", "array(-1L, -64L, -65L, -128L, NULL, -1L) AS postings", "0 AS extra", "0 AS n_rows")
     got = term_totals(p, spark.createDataFrame([(-1, "hot", 4, 0)], ENTRIES)).collect()
-    assert [tuple(r) for r in got] == [("hot", 4, 20_000, 1, 4)]
+    assert [tuple(r) for r in got] == [("hot", 4, 20_000, 1, 4, 0)]
 
 
 def test_join_sums(spark):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from tokensift import BindError, UnsupportedError
 from tokensift.operators.catalog import TokenEngine
 from tokensift.operators.index import InvertedIndex, build_index
-from tokensift.operators.search import AllTokens, AnyTokens, Token, Where, search
+from tokensift.operators.search import AllTokens, AnyTokens, Token, Where, _ranges, search
+from tokensift.sources.tables import laid_out
 
 ROWS = [(0, "a b a"), (1, None), (2, "B c"), (3, ""), (5, "ab " + "x" * 500), (7, "b  b\tB"), (8, "c"), (40, "a z")]
 
@@ -51,9 +52,8 @@ TREES = [
 @pytest.mark.parametrize("tree", TREES, ids=range(len(TREES)))
 def test_index_and_scan_agree(table, index, tree):
     by_scan = [r.id for r in search(table, "id", "message", tree).orderBy("id").collect()]
-    by_index = [r.id for r in search(table, "id", "message", tree, index).orderBy("id").collect()]
-    assert by_index == by_scan
-    assert [r.id for r in search(table, "id", "message", tree, index, scan_above=0).orderBy("id").collect()] == by_scan
+    for path in ("auto", "join"):
+        assert [r.id for r in search(table, "id", "message", tree, index, path=path).orderBy("id").collect()] == by_scan
 
 
 def test_filters_with_the_index(table, index):
@@ -107,3 +107,60 @@ def test_catalogue(spark, table):
 def test_lookup_pushes_the_term_down(index):
     plan = index.table.where(F.col("term") == "b").select("row_ids")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,b)" in plan and "postings_count" not in plan.split("ReadSchema")[1]
+
+
+def test_an_index_never_changes_an_answer(spark):
+    engine = TokenEngine(spark)
+    engine.register("mixed", spark.createDataFrame([(0, "error a"), (1, "\u00e9 error"), (2, "fine"), (3, None)], "id long, message string"), "id")
+    engine.create_index("m", "mixed", "message", non_ascii="null")
+    for path in ("auto", "join"):
+        for tree in (Token("error"), ~Token("error"), Token("error") & ~Token("a")):
+            with pytest.raises(Exception, match="ASCII"):
+                engine.search("mixed", "message", tree, path=path).collect()
+            scan = engine.search("mixed", "message", tree, "null", "scan").orderBy("id").collect()
+            assert engine.search("mixed", "message", tree, "null", path).orderBy("id").collect() == scan
+
+
+def test_a_table_registered_again_loses_its_indexes(spark):
+    engine = TokenEngine(spark)
+    engine.register("logs", spark.createDataFrame([(0, "error"), (1, "x")], "id long, message string"), "id")
+    engine.create_index("e", "logs", "message")
+    engine.register("logs", spark.createDataFrame([(0, "x"), (1, "error")], "id long, message string"), "id")
+    assert engine.indexes().count() == 0
+    for path in ("auto", "join"):
+        assert [tuple(r) for r in engine.search("logs", "message", Token("error"), path=path).collect()] == [(1, "error")]
+
+
+def test_generated_column(spark):
+    engine = TokenEngine(spark)
+    engine.register("logs", spark.createDataFrame([(0, "error a"), (1, "fine")], "id long, message string").withColumn("upper_message", F.upper("message")), "id")
+    engine.create_index("u", "logs", "upper_message")
+    assert [r.id for r in engine.search("logs", "upper_message", Token("ERROR")).collect()] == [0]
+    assert [r.row_id for r in engine.index("u").lookup("error").collect()] == [0]
+
+
+def test_scan_is_narrowed(spark, tmp_path):
+    """Rare tokens push ranges of ids into the scan of a table laid out by id; common ones and NOT are plain scans."""
+    rows = spark.range(4000).select("id", F.concat(F.lit("w"), F.col("id") % 3, F.when(F.col("id").isin(17, 3333), " rare").otherwise("")).alias("message"))
+    logs = laid_out(rows, "id", 64, str(tmp_path / "logs"))
+    index = InvertedIndex.build(logs, "id", "message", str(tmp_path / "index"), 64)
+    assert index.violations().count() == 0 and index.total_dictionary_size() == build_index(logs, "id", "message", 64).count()
+    found = search(logs, "id", "message", Token("rare"), index)
+    assert sorted(r.id for r in found.collect()) == [17, 3333]
+    pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1]
+    assert "GreaterThanOrEqual(id,0)" in pushed and "LessThan(id,64)" in pushed and "GreaterThanOrEqual(id,3328)" in pushed
+    assert search(logs, "id", "message", Token("none"), index).count() == 0
+    assert "GreaterThan" not in search(logs, "id", "message", ~Token("rare"), index)._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[1]
+    assert search(logs, "id", "message", AnyTokens(["w1", "rare"]), index).count() == 1333 + 2
+    both = search(logs, "id", "message", AllTokens(["w2", "rare"]) & ~Token("w0"), index)
+    assert [r.id for r in both.collect()] == [17]
+
+
+@pytest.mark.parametrize("groups,most,ranges", [(set(), 3, []), ({1, 2, 5}, 3, [(1, 3), (5, 6)]), ({1, 4, 5, 90, 95}, 2, [(1, 6), (90, 96)]), ({1, 9}, 1, [(1, 10)])])
+def test_ranges(groups, most, ranges):
+    assert _ranges(groups, most) == ranges
+
+
+def test_ranged_build_has_one_shuffle(table):
+    plan = build_index(table, "id", "message", 4, ranged=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan

@@ -1,7 +1,6 @@
-import pytest
+from pathlib import Path
 
-from tokensift.sources.shipping import ship
-from tokensift.sources.tables import materialized, shared_dir, spread, table
+from tokensift.sources.tables import _remove, laid_out, materialized, shared_dir, table, work_path
 
 
 def test_table_reads_only_what_is_asked_for(spark):
@@ -21,14 +20,16 @@ def test_materialized_ends_the_lineage(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
 
-@pytest.mark.parametrize("least,parts", [(1, 1), (8 << 20, 4)])
-def test_spread(spark, least, parts):
-    df = spark.read.parquet("/root/testdata/sf0.001/logs.parquet").select("row_id")
-    assert spread(df, least).rdd.getNumPartitions() == parts
-    assert spread(df, least).count() == df.count()
+def test_work_goes_with_the_application(spark):
+    path = Path(work_path(spark, "some").removeprefix("file://"))
+    materialized(spark.range(1), "one")
+    assert spark.sparkContext.applicationId in str(path) and path.parent.exists()
+    _remove(spark, f"file://{path.parent}")
+    assert not path.parent.exists()
 
 
-def test_shipping_twice(spark):
-    ship(spark)
-    ship(spark)
-    assert spark.range(1).mapInPandas(lambda it: ((__import__("tokensift.errors"), p)[1] for p in it), "id long").count() == 1
+def test_laid_out_rows_are_pruned(spark, tmp_path):
+    df = laid_out(spark.range(10_000).selectExpr("id", "uuid() AS text").orderBy("text"), "id", 500, str(tmp_path / "rows"))
+    plan = df.where("id >= 500 AND id < 1000")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,500)" in plan
+    assert df.count() == 10_000 and df.where("id >= 500 AND id < 1000").count() == 500

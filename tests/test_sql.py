@@ -25,7 +25,12 @@ def front(spark):
     ("SELECT id FROM logs WHERE contains_any_tokens(note, array('alice', 'zzz')) OR contains_token(msg, 'bob')", [0, 1, 2]),
     ("WITH c AS (SELECT * FROM logs WHERE contains_token(msg, 'bob')) SELECT id FROM c", [0, 2]),
     ("SELECT id FROM logs WHERE id IN (SELECT id FROM logs WHERE contains_token(msg, 'bob'))", [0, 2]),
-    ("SELECT id FROM logs WHERE contains_token(NULL, 'a b')", []),
+    ("SELECT id FROM logs WHERE contains_token(NULL, 'a b')", []), ("SELECT id FROM logs WHERE contains_token(NULL, 'a')", []), ("SELECT id FROM logs WHERE contains_token(msg, CAST(NULL AS STRING))", []),
+    ("SELECT id FROM logs WHERE contains_token(concat(msg, ' ', CASE WHEN contains_token(msg, 'met') THEN 'yes' ELSE 'no' END), 'yes')", [0]),
+    ("SELECT id /* contains_token(msg, 'x y') */ FROM logs -- '[a, b]'\nWHERE contains_any_tokens(msg, '[zzz, MET]')", [0]),
+    ("SELECT id FROM logs WHERE contains_token((SELECT max(msg) FROM logs), 'bob') AND id < 2", [0, 1]),
+    ("SELECT id FROM logs WHERE contains_any_tokens(msg, array('1','2','3','4','5','6','7','8','9','BOB'))", [0, 2]),
+    ("SELECT id FROM logs WHERE contains_all_tokens(msg, array('1','2','3','4','5','6','7','8','9','bob'))", []),
 ])
 def test_queries(front, sql, ids):
     assert sorted(r.id for r in front.sql(sql).collect()) == ids
@@ -44,6 +49,40 @@ def test_bad_arguments(front, sql):
         front.sql(sql)
 
 
+def test_tokens_of_any_characters(spark):
+    marks = ["a'b", 'q"q', "back\\slash", "${x}", "a.b*", "%_", "--c", "/*"]
+    engine = TokenEngine(spark)
+    engine.register("marks", spark.createDataFrame([(i, f"x {m} y") for i, m in enumerate(marks)], "id int, msg string"), "id")
+    front = TokenSQL(engine)
+    for i, m in enumerate(marks):
+        quoted = "CAST(X'" + m.encode().hex() + "' AS STRING)"
+        assert [r.id for r in front.sql(f"SELECT id FROM marks WHERE contains_token(msg, {quoted})").collect()] == [i]
+
+
+def test_calls_are_written_out(front):
+    plan = front.sql("SELECT id FROM logs WHERE contains_token(msg, 'bob') AND contains_all_tokens(msg, array('bob', 'alice'))")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "RLIKE" in plan
+
+
+def test_listing_in_sql(front):
+    front.sql("CREATE INDEX seen ON logs USING tokens (msg)")
+    for source in ("token_indexes", "duckdb_indexes()"):
+        assert [tuple(r) for r in front.sql(f"SELECT index_name, table_name, is_unique FROM {source} WHERE table_name = 'logs'").collect()] == [("seen", "logs", False)]
+    front.sql("DROP INDEX seen")
+    assert front.sql("SELECT count(*) AS n FROM duckdb_indexes()").first().n == 0
+    with pytest.raises(BindError):
+        front.sql("CREATE INDEX seen ON logs USING btree (msg)")
+
+
+def test_tables_from_sql(front, tmp_path):
+    front.sql(f"CREATE TABLE kept_rows USING parquet LOCATION '{tmp_path}/hits' AS SELECT id, contains_token(msg, 'bob') AS hit FROM logs")
+    front.sql("INSERT INTO kept_rows SELECT id + 10, contains_token(note, 'alice') FROM logs WHERE contains_token(note, 'alice')")
+    assert sorted(map(tuple, front.sql("SELECT * FROM kept_rows").collect())) == [(0, True), (1, None), (2, True), (3, False), (11, True)]
+    ordered = front.sql("SELECT contains_token(msg, 'bob') AS hit, count(*) AS n FROM logs GROUP BY contains_token(msg, 'bob') ORDER BY hit NULLS LAST")
+    assert [tuple(r) for r in ordered.collect()] == [(False, 1), (True, 2), (None, 1)]
+    front.sql("DROP TABLE kept_rows")
+
+
 def test_arity_and_syntax(front):
     with pytest.raises(AnalysisException):
         front.sql("SELECT contains_token(msg) FROM logs").collect()

@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
 from tokensift.operators.index import build_index
-from tokensift.operators.search import Token
-from tokensift.streaming import append_postings, matching, token_counts
+from tokensift.operators.search import Token, search
+from tokensift.streaming import append_postings, matching, streamed_index, token_counts
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -27,6 +27,9 @@ def test_postings_of_a_stream(spark, tmp_path):
     grouped = spark.read.parquet(str(tmp_path / "out")).groupBy("row_group", "term").agg(F.sort_array(F.collect_set("row_id")).alias("row_ids"))
     want = build_index(batch, "event_id", "m", 256).select("row_group", "term", "row_ids")
     assert grouped.exceptAll(want).count() == want.exceptAll(grouped).count() == 0
+    index = streamed_index(spark, str(tmp_path / "out"), 256)
+    assert index.violations().count() == 0 and index.lookup("error").count() == search(batch, "event_id", "m", Token("error")).count()
+    assert sorted(r.event_id for r in search(batch, "event_id", "m", ~Token("error"), index, path="join").collect()) == sorted(r.event_id for r in search(batch, "event_id", "m", ~Token("error")).collect())
 
 
 def test_windowed_counts(spark, tmp_path):

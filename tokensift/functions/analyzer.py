@@ -32,11 +32,16 @@ def pieces(col: str | Column) -> Column:
     return F.split(F.lower(as_column(col)), SEPARATORS)
 
 
+def term_pattern(term: str) -> str:
+    """A regular expression for ``term`` between separators or ends."""
+    literal = "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in term)
+    return rf"(?:\A|[\x09-\x0D ]){literal}(?:[\x09-\x0D ]|\z)"
+
+
 def has_term(col: str | Column, term: str) -> Column:
     """Whether an ASCII text has an analyzed term: a plain substring search settles most rows, then its ends are looked at."""
     low = F.lower(as_column(col))
-    literal = "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in term)
-    return low.contains(F.lit(term)) & low.rlike(rf"(?:\A|[\x09-\x0D ]){literal}(?:[\x09-\x0D ]|\z)")
+    return low.contains(F.lit(term)) & low.rlike(term_pattern(term))
 
 
 def terms(col: str | Column) -> Column:

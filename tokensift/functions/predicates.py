@@ -6,6 +6,7 @@ stands, even where the optimizer would never evaluate it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -14,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokensift.errors import BindError
-from tokensift.functions.analyzer import analyze_literal, as_column, guarded, has_term, pieces
+from tokensift.functions.analyzer import NON_ASCII, SEPARATORS, analyze_literal, as_column, guarded, has_term, pieces, term_pattern
 
 
 #: Up to so many terms are sought one by one.
@@ -94,3 +95,37 @@ def contains_any_tokens(col: str | Column | None, tokens: Sequence[str] | None,
     else:
         test = F.arrays_overlap(pieces(c), F.array(*map(F.lit, found)))
     return guarded(c, test, non_ascii)
+
+
+# the same predicates as SQL text, for arguments that are written as SQL
+
+def _literal(text: str) -> str:
+    """``text`` as a string literal that no setting of the parser reads differently."""
+    return f"'{text}'" if re.fullmatch(r"[\w=.:/-]*", text) else f"CAST(X'{text.encode().hex()}' AS STRING)"
+
+
+def _term_sql(c: str, term: str) -> str:
+    return f"(contains(lower({c}), {_literal(term)}) AND lower({c}) RLIKE r'{term_pattern(term)}')"
+
+
+def predicate_sql(function: str, c: str, value: object, non_ascii: str = "error") -> str:
+    """The call of ``function`` on the SQL expression ``c`` with a checked constant, written out."""
+    if function == "contains_token":
+        term = query_term(function, value)
+        found, all_of, empty = ([] if term is None else [term]), True, True
+    else:
+        found, vacuous = query_terms(function, value)
+        all_of = function == "contains_all_tokens"
+        empty = True if all_of else vacuous
+        if vacuous and not all_of:
+            found = []
+    if not found:
+        test = f"CASE WHEN {c} IS NOT NULL THEN {str(empty).upper()} END"
+    elif len(found) <= FEW:
+        test = (" AND " if all_of else " OR ").join(_term_sql(c, t) for t in found)
+    else:
+        own, terms = f"split(lower({c}), r'{SEPARATORS}')", "array(" + ", ".join(map(_literal, found)) + ")"
+        test = f"CASE WHEN {c} IS NOT NULL THEN size(array_except({terms}, {own})) = 0 END" if all_of else f"arrays_overlap({own}, {terms})"
+    ascii_ = f"(is_valid_utf8({c}) AND octet_length({c}) = char_length({c}))"
+    other = f"raise_error('{NON_ASCII}')" if non_ascii == "error" else "NULL"
+    return f"(CASE WHEN NOT {ascii_} THEN {other} ELSE ({test}) END)"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tokensift.errors import BindError, UnsupportedError
-from tokensift.operators.index import ROW_GROUP_SIZE, InvertedIndex, build_index, check_key, check_row_group_size
+from tokensift.operators.index import ROW_GROUP_SIZE, InvertedIndex, check_key, check_row_group_size
 from tokensift.operators.search import Predicate, search
 from tokensift.sources.tables import shared_dir
 
@@ -20,6 +20,7 @@ class IndexEntry:
     column: str
     index: InvertedIndex
     path: str
+    non_ascii: str
 
 
 class TokenEngine:
@@ -31,9 +32,14 @@ class TokenEngine:
         self._indexes: dict[str, IndexEntry] = {}
 
     def register(self, name: str, df: DataFrame, id_column: str) -> None:
-        """Make ``df`` known as ``name``, in SQL too; ``id_column`` is its unique row id."""
+        """Make ``df`` known as ``name``, in SQL too; ``id_column`` is its unique row id.
+
+        Indexes on another table of that name are dropped: they are snapshots of its rows.
+        """
         if id_column not in df.columns:
             raise BindError(f"table {name} has no column {id_column}")
+        for entry in [e for e in self._indexes.values() if e.table == name]:
+            self.drop_index(entry.name)
         df.createOrReplaceTempView(name)
         self._tables[name] = df, id_column
 
@@ -58,8 +64,8 @@ class TokenEngine:
             raise BindError(f"a token index takes no options; {next(iter(options))!r} was given")
         key, size = check_key(df, column), check_row_group_size(row_group_size)
         path = f"{self._folder or shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
-        built = InvertedIndex.write(build_index(df, id_column, key, size, non_ascii), path, size)
-        self._indexes[name] = IndexEntry(name, table, key, built, path)
+        built = InvertedIndex.build(df, id_column, key, path, size, non_ascii)
+        self._indexes[name] = IndexEntry(name, table, key, built, path, non_ascii)
 
     def drop_index(self, name: str, if_exists: bool = False) -> None:
         entry = self._indexes.pop(name, None)
@@ -85,8 +91,11 @@ class TokenEngine:
 
     delete = merge = append
 
-    def search(self, table: str, column: str, tree: Predicate, non_ascii: str = "error", scan_above: int | None = None) -> DataFrame:
-        """The rows of ``table`` where ``tree`` holds for ``column``, by an index on it if there is one."""
+    def search(self, table: str, column: str, tree: Predicate, non_ascii: str = "error", path: str = "auto") -> DataFrame:
+        """The rows of ``table`` where ``tree`` holds for ``column``, by an index on it if there is one.
+
+        An index that was built to skip texts outside ASCII cannot report one, so where that is an error it is not used.
+        """
         df = self.table(table)
-        entry = next((e for e in self._indexes.values() if (e.table, e.column) == (table, column)), None)
-        return search(df, self._tables[table][1], column, tree, entry.index if entry else None, non_ascii, scan_above)
+        fit = (e.index for e in self._indexes.values() if (e.table, e.column) == (table, column) and e.non_ascii in ("error", non_ascii))
+        return search(df, self._tables[table][1], column, tree, next(fit, None), non_ascii, path)

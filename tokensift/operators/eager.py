@@ -44,41 +44,44 @@ def eager_join_aggregate(
 
 
 def term_totals(postings: DataFrame, entries: DataFrame) -> DataFrame:
-    """``term, n_rows, n_records, n_row_groups, entry_rows``: totals of every term over all row groups.
+    """``term, n_rows, n_records, n_row_groups, entry_rows, unlisted_rows``: totals of every term over all row groups.
 
     ``postings``: row_group, term, postings (lists may overlap, repeat, be empty or null); ``entries``: row_group, term,
-    postings_count (may repeat).  Both are reduced to one state by term before they meet, in steps whose groups are small
-    whatever the term: row ids to sets of up to 64 as one number, entries to one by row group.  All states are numbers,
-    combined before every shuffle, so no term and no record written over and over gathers in a task.
-
-    ``n_rows``: distinct row ids.  ``n_records``: posting records as they stand.  ``n_row_groups``, ``entry_rows``: row groups
-    whose dictionary has the term, and its rows as told there (0 and null if it is in none).
+    postings_count (may repeat).  A posting list can be reached by its dictionary entry, so the two meet by row group and
+    term: each is reduced to one state there, the states are joined, and the joined states are rolled up by term.
+    All states are numbers that are combined before every shuffle (row ids are sets of up to 64 as one number), so neither
+    a term of a third of all rows nor a record written over and over gathers in a task.
+
+    ``n_rows``: distinct row ids of lists that have an entry; ``unlisted_rows``: of lists that have none, which no lookup
+    would find.  ``n_records``: posting records as they stand.  ``n_row_groups``, ``entry_rows``: row groups whose dictionary has
+    the term, and its rows there as told (0 and null if it is in none).
     Null terms, null and empty lists and null row ids count nowhere; terms without any row id give no row.
     """
-    lists = postings.where(F.col("term").isNotNull() & (F.size("postings") > 0)).select("term", F.posexplode("postings").alias("at", "id"))
+    lists = postings.where(F.col("term").isNotNull() & (F.size("postings") > 0)).select("row_group", "term", F.posexplode("postings").alias("at", "id"))
     bit = F.expr("shiftleft(1L, CAST(pmod(id, 64) AS INT))")
-    sets = lists.groupBy("term", F.expr("id div 64 - CAST(id < 0 AND id % 64 <> 0 AS INT)").alias("word")).agg(
+    sets = lists.groupBy("row_group", "term", F.expr("id div 64 - CAST(id < 0 AND id % 64 <> 0 AS INT)").alias("word")).agg(
         F.bit_or(bit).alias("bits"), F.count_if(F.col("at") == 0).alias("records"))
-    once = entries.where(F.col("term").isNotNull() & (F.col("postings_count") > 0)).groupBy("row_group", "term").agg(F.max("postings_count").alias("told"))
+    listed, ids = F.col("told").isNotNull(), F.coalesce("ids", F.lit(0))
     totals = eager_join_aggregate(
-        sets, once, ["term"],
+        sets, entries.where(F.col("postings_count") > 0), ["row_group", "term"],
         left_states={"ids": F.sum(F.bit_count("bits")), "records": F.sum("records")},
-        right_states={"groups": F.count("*"), "told": F.sum("told")},
-        combine={"ids": F.coalesce("ids", F.lit(0)), "records": F.col("records"), "groups": F.coalesce("groups", F.lit(0)), "told": F.col("told")},
+        right_states={"told": F.max("postings_count")},
+        combine={"ids": F.when(listed, ids).otherwise(0), "unlisted": F.when(listed, 0).otherwise(ids), "records": F.col("records"), "told": F.col("told")},
         rollup=["term"],
         rollup_states={
             "n_rows": F.sum("ids").cast("bigint"),
             "n_records": F.sum("records").cast("bigint"),
-            "n_row_groups": F.sum("groups").cast("bigint"),
+            "n_row_groups": F.count("told").cast("bigint"),
             "entry_rows": F.sum("told").cast("bigint"),
+            "unlisted_rows": F.sum("unlisted").cast("bigint"),
         },
         how="left",
     )
-    return totals.where(F.col("n_rows") > 0)
+    return totals.where(F.col("n_rows") + F.col("unlisted_rows") > 0)
 
 
 def dominant_terms(totals: DataFrame, share: int = 80) -> DataFrame:
-    """The terms of ``totals`` that hold at least 1/``share`` of all (term, row id) pairs: ``term, n_rows``."""
+    """The terms of ``totals`` that hold at least 1/``share`` of all (term, row id) pairs of listed rows: ``term, n_rows``."""
     total = totals.agg(F.sum("n_rows").alias("n")).first()["n"] or 0
     return totals.where(F.col("n_rows") * F.lit(share) >= F.lit(total)).where("n_rows > 0").select("term", "n_rows")
 

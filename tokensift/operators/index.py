@@ -38,19 +38,22 @@ def check_key(df: DataFrame, column: object) -> str:
     return column
 
 
-def build_index(df: DataFrame, id_column: str, text_column: str, row_group_size: int = ROW_GROUP_SIZE, non_ascii: str = "error") -> DataFrame:
+def build_index(df: DataFrame, id_column: str, text_column: str, row_group_size: int = ROW_GROUP_SIZE, non_ascii: str = "error", ranged: bool = False) -> DataFrame:
     """The index of ``text_column``; ``id_column`` holds the row's position, unique and not negative.
 
     Null texts and texts without terms have no postings and shift nobody's id; a term repeated in a row is one posting, as
     is a row that occurs twice.  A null or negative id, and (unless ``non_ascii='null'`` skips it) a non-ASCII text, is an
-    error when the row is read.  An empty table gives an empty index.
+    error when the row is read.  An empty table gives an empty index.  ``ranged``: the postings are shuffled into ranges of
+    terms, which grouping then needs no other shuffle for, nor sealing.
     """
     size, text = check_row_group_size(row_group_size), check_key(df, text_column)
     row_id = F.col(id_column).cast("bigint")
     row_id = F.when(row_id.isNull() | (row_id < 0), F.raise_error(F.lit("row ids must be whole numbers from 0")).cast("bigint")).otherwise(row_id)
     postings = df.where(F.col(text).isNotNull()).select(row_id.alias("row_id"), F.explode(F.array_distinct(analyze(text, non_ascii))).alias("term"))
-    grouped = postings.groupBy(F.expr(f"row_id div {size}").alias("row_group"), "term")
-    return grouped.agg(F.sort_array(F.collect_set("row_id")).alias("row_ids")).withColumn("postings_count", F.size("row_ids").cast("bigint"))
+    postings = postings.withColumn("row_group", F.expr(f"row_id div {size}"))
+    if ranged:
+        postings = postings.repartitionByRange("term", "row_group")
+    return postings.groupBy("row_group", "term").agg(F.sort_array(F.collect_set("row_id")).alias("row_ids")).withColumn("postings_count", F.size("row_ids").cast("bigint"))
 
 
 class InvertedIndex:
@@ -66,6 +69,13 @@ class InvertedIndex:
         ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
         return cls.open(index.sparkSession, path, row_group_size)
 
+    @classmethod
+    def build(cls, df: DataFrame, id_column: str, text_column: str, path: str, row_group_size: int = ROW_GROUP_SIZE, non_ascii: str = "error") -> InvertedIndex:
+        """Build and seal in one shuffle: what the ranges are sampled from is the scan, not the lists."""
+        built = build_index(df, id_column, text_column, row_group_size, non_ascii, ranged=True).sortWithinPartitions("term", "row_group")
+        built.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+        return cls.open(df.sparkSession, path, row_group_size)
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, row_group_size: int = ROW_GROUP_SIZE) -> InvertedIndex:
         schema = "row_group bigint, term string, row_ids array<bigint>, postings_count bigint"
@@ -75,6 +85,25 @@ class InvertedIndex:
         """``row_id``, ascending, of the rows that contain an analyzed term; byte-wise, and none for the empty term."""
         return self.table.where(F.col("term") == F.lit(term)).select(F.explode("row_ids").alias("row_id")).orderBy("row_id")
 
+    def groups_of(self, terms: list[str], most: int) -> dict[str, set[int]]:
+        """The row groups of each term, but for terms in more than ``most`` of them; absent terms have none.
+
+        At most ``len(terms) * most`` small rows reach the driver.
+        """
+        if not terms:
+            return {}
+        held = self.table.where(F.col("term").isin(terms))
+        if len(terms) == 1:
+            rows = held.select("term", "row_group").limit(most + 1).collect()
+            return {terms[0]: {r["row_group"] for r in rows}} if len(rows) <= most else {}
+        n = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        few = [t for t in terms if 0 < n.get(t, 0) <= most]
+        out = {t: set() for t in terms if t not in n or t in few}
+        if few:
+            for r in self.table.where(F.col("term").isin(few)).select("term", "row_group").collect():
+                out[r["term"]].add(r["row_group"])
+        return out
+
     def num_partitions(self) -> int:
         """Row groups with postings."""
         return self.table.select("row_group").distinct().count()

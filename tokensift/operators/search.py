@@ -1,6 +1,7 @@
 """Predicates as trees, answered by a scan or by the index with the same result.
 
-On the index path the terms of the whole tree are read in one pass and brought together per row group, where the tree is
+The index tells in which row groups a tree may be true; where these are few the scan is narrowed to them, and the predicate
+itself decides about their rows.  On the join path the terms of the whole tree are read in one pass and brought together per row group, where the tree is
 evaluated by array operations on posting lists; a subtree is a set of rows or, under NOT, the complement of one among the
 rows whose text is not null.  The resulting ids meet the table in one semi or anti join, which the optimizer may broadcast
 if the ids turn out few.
@@ -10,10 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokensift.errors import BindError
 from tokensift.functions import predicates as P
 from tokensift.functions.analyzer import is_ascii
 from tokensift.operators.index import InvertedIndex
@@ -181,44 +185,106 @@ def matching_ids(index: InvertedIndex, tree: Predicate) -> tuple[bool, DataFrame
     return sign, grouped.select(F.explode(ids).alias("row_id"))
 
 
-def estimated_rows(index: InvertedIndex, tree: Predicate) -> int:
-    """Postings of all terms of the tree: an upper bound of the ids that the index path reads."""
-    terms = sorted(_terms(tree))
-    return index.table.where(F.col("term").isin(terms)).agg(F.sum("postings_count").alias("n")).first()["n"] or 0 if terms else 0
+def _groups(tree: Predicate, known: dict[str, set[int]]) -> set[int] | None:
+    """Row groups outside of which ``tree`` is never true; None if it may be true in any."""
+    if isinstance(tree, (Token, AllTokens, AnyTokens)):
+        if isinstance(tree, Token):
+            found = [P.query_term("contains_token", tree.token)]
+        else:
+            found, vacuous = P.query_terms("contains_any_tokens", tree.tokens)
+            if vacuous and isinstance(tree, AnyTokens):
+                return None
+        sets = [known.get(t) for t in found]
+        if isinstance(tree, AnyTokens):
+            return None if None in sets else set().union(*sets)
+        bounded = [x for x in sets if x is not None]
+        return set.intersection(*bounded) if bounded else None
+    if isinstance(tree, (And, Or)):
+        a, b = _groups(tree.left, known), _groups(tree.right, known)
+        if isinstance(tree, And):
+            return a if b is None else b if a is None else a & b
+        return None if a is None or b is None else a | b
+    return None
+
+
+def _ranges(groups: set[int], most: int) -> list[tuple[int, int]]:
+    """Runs of row groups, ends exclusive; where there are more than ``most``, the narrowest gaps are bridged."""
+    runs: list[tuple[int, int]] = []
+    for g in sorted(groups):
+        if runs and runs[-1][1] == g:
+            runs[-1] = runs[-1][0], g + 1
+        else:
+            runs.append((g, g + 1))
+    gaps = sorted(range(1, len(runs)), key=lambda i: runs[i][0] - runs[i - 1][1], reverse=True)
+    kept = sorted(gaps[: most - 1])
+    return [(runs[a][0], runs[b - 1][1]) for a, b in zip([0, *kept], [*kept, len(runs)])] if runs else []
+
+
+#: The pruned scan is taken for trees that lie in at most so many row groups, and reads so many ranges of them.
+MOST_GROUPS, MOST_RANGES = 1024, 16
+
+
+def pruned(table: DataFrame, id_column: str, tree: Predicate, index: InvertedIndex) -> DataFrame | None:
+    """The rows of the row groups in which ``tree`` may be true; None where the index rules too little out.
+
+    The ranges of ids are pushed into the scan, which leaves out files, row groups and pages of a table that is laid out by
+    row id (``laid_out``).
+    """
+    groups = _groups(tree, index.groups_of(sorted(_terms(tree)), MOST_GROUPS))
+    if groups is None:
+        return None
+    if not groups:
+        return table.where(F.lit(False))
+    row_id, size = F.col(id_column), index.row_group_size
+    ranges = [(row_id >= F.lit(a * size)) & (row_id < F.lit(b * size)) for a, b in _ranges(groups, MOST_RANGES)]
+    return table.where(reduce(or_, ranges))
+
+
+def _bounded(tree: Predicate) -> bool:
+    """Whether the terms of ``tree`` can rule row groups out at all."""
+    if isinstance(tree, And):
+        return _bounded(tree.left) or _bounded(tree.right)
+    if isinstance(tree, Or):
+        return _bounded(tree.left) and _bounded(tree.right)
+    return isinstance(tree, (Token, AllTokens, AnyTokens))
 
 
 def search(
     table: DataFrame, id_column: str, text_column: str, tree: Predicate, index: InvertedIndex | None = None,
-    non_ascii: str = "error", scan_above: int | None = None,
+    non_ascii: str = "error", path: str = "auto",
 ) -> DataFrame:
     """The rows of ``table`` for which ``tree`` is true.
 
-    With ``index`` the token conditions are answered by it; other conditions joined to them by AND are filters on the
-    result; a tree that mixes them under OR or NOT, or has a null argument, is scanned.  ``scan_above``: scan if the tree's
-    terms have more postings than that.  The index must cover the table as it is; then both ways give the same rows.
+    ``path``: with ``'auto'`` the index tells the row groups in which the tree may be true.  Where they are few, they alone
+    are scanned; else, and for a tree that rules nothing out, such as NOT, the whole table is.  With ``'join'`` the index
+    answers the token conditions and the ids meet the table in a semi or anti join, which saves the analysis of texts that
+    are long; other conditions joined to them by AND are filters on the result.  A tree that mixes them under OR or NOT, or
+    has a null argument, is scanned.  The index must cover the table as it is and have been built with the same
+    ``non_ascii``; then all ways give the same rows.
     """
+    if path not in ("auto", "join", "scan"):
+        raise BindError(f"path must be 'auto', 'join' or 'scan', not {path!r}")
     condition = as_condition(tree, text_column, non_ascii)  # reports bad arguments in any case
-    if index is not None:
-        try:
-            parts, conditions = _split(tree)
-            if not parts:
-                raise _NeedsScan
-            whole = parts[0]
-            for p in parts[1:]:
-                whole = And(whole, p)
-            if scan_above is not None and estimated_rows(index, whole) > scan_above:
-                raise _NeedsScan
-            sign, ids = matching_ids(index, whole)
-            rows = table
-            for c in conditions:
-                rows = rows.where(c)
-            ids = ids.select(F.col("row_id").alias("__row_id"))
-            match = F.col(id_column).cast("bigint") == F.col("__row_id")
-            if sign:
-                return rows.join(ids, match, "left_semi")
-            text = F.col(text_column)
-            present = text.isNotNull() if non_ascii == "error" else is_ascii(text)
-            return rows.where(present).join(ids, match, "left_anti")
-        except _NeedsScan:
-            pass
-    return table.where(condition)
+    if index is None or path == "scan":
+        return table.where(condition)
+    try:
+        parts, conditions = _split(tree)
+        if not parts:
+            raise _NeedsScan
+        whole = reduce(And, parts)
+        if path == "auto":
+            few = pruned(table, id_column, whole, index) if _bounded(whole) else None
+            return (table if few is None else few).where(condition)
+        sign, ids = matching_ids(index, whole)
+    except _NeedsScan:
+        return table.where(condition)
+    rows = table
+    for c in conditions:
+        rows = rows.where(c)
+    ids = ids.select(F.col("row_id").alias("__row_id"))
+    match = F.col(id_column).cast("bigint") == F.col("__row_id")
+    if sign:
+        return rows.join(ids, match, "left_semi")
+    text = F.col(text_column)
+    present = text.isNotNull() if non_ascii == "error" else is_ascii(text)
+    return rows.where(present).join(ids, match, "left_anti")

@@ -5,19 +5,20 @@ Texts outside ASCII have no terms defined; queries over mixed tables give null f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokensift.functions.analyzer import analyze
+from tokensift.functions.analyzer import analyze, is_ascii
 from tokensift.functions.predicates import contains_all_tokens, contains_any_tokens, contains_token
 from tokensift.operators import eager
 from tokensift.operators.catalog import TokenEngine
 from tokensift.operators.index import InvertedIndex, build_index
 from tokensift.operators.search import AllTokens, AnyTokens, Predicate, Token, Where, as_condition, search
 from tokensift.plans.sql import TokenSQL
-from tokensift.sources.tables import materialized, table
+from tokensift.sources.tables import laid_out, materialized, table, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -268,6 +269,40 @@ def sql_values(spark, d):
     return _sql(spark, d, "SELECT id, contains_all_tokens(s, array('a', 'B')) AS hit FROM VALUES (0, 'b A'), (1, 'ab'), (2, NULL), (3, 'x\\ta\\nb') AS v(id, s)")
 
 
+@_query(f"SELECT p_partkey, {_token('p_name', 'ring')} AS hit FROM part WHERE {_any('p_name', 'ring', 'gear')}")
+def sql_ctas(spark, d):
+    """A table made and filled by SQL."""
+    name = f"hits_{uuid.uuid4().hex}"
+    _sql(spark, d, f"CREATE TABLE {name} USING parquet LOCATION '{work_path(spark, name)}' AS SELECT p_partkey, contains_token(p_name, 'ring') AS hit FROM part WHERE contains_any_tokens(p_name, array('ring', 'GEAR'))", part="p_partkey")
+    return spark.table(name)
+
+
+@_query(f"SELECT p_partkey FROM part WHERE {_token('p_name', 'ring')} UNION ALL SELECT -p_partkey FROM part WHERE {_token('p_name', 'gear')}")
+def sql_insert(spark, d):
+    name = f"hits_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (p_partkey BIGINT) USING parquet LOCATION '{work_path(spark, name)}'")
+    for key, token in (("p_partkey", "ring"), ("-p_partkey", "gear")):
+        _sql(spark, d, f"INSERT INTO {name} SELECT {key} FROM part WHERE contains_token(p_name, '{token}')", part="p_partkey")
+    return spark.table(name)
+
+
+@_query(f"SELECT hit, count(*) AS n FROM (SELECT {_token('m', 'error')} AS hit FROM {_EV}) GROUP BY hit ORDER BY hit NULLS LAST")
+def sql_nulls_last(spark, d):
+    engine = TokenEngine(spark)
+    engine.register("happened", _events(spark, d), "event_id")
+    return TokenSQL(engine).sql("SELECT contains_token(m, 'error') AS hit, count(*) AS n FROM happened GROUP BY contains_token(m, 'error') ORDER BY hit NULLS LAST")
+
+
+@_query("SELECT * FROM (VALUES ('by_message', 'logs', FALSE), ('by_note', 'logs', FALSE)) v(index_name, table_name, is_unique)")
+def sql_listing(spark, d):
+    engine = TokenEngine(spark)
+    engine.register("logs", _logs(spark, d, "message", "note").where(is_ascii("message") & F.coalesce(is_ascii("note"), F.lit(True))), "row_id")
+    front = TokenSQL(engine)
+    front.sql("CREATE INDEX by_message ON logs USING tokens (message)")
+    front.sql("CREATE INDEX by_note ON logs (note)")
+    return front.sql("SELECT index_name, table_name, is_unique FROM duckdb_indexes()")
+
+
 @_query("SELECT range AS id FROM range(5000) WHERE range % 1000 = 7")
 def sql_range(spark, d):
     return _sql(spark, d, "SELECT id FROM (SELECT id, concat('row number ', CAST(id % 1000 AS STRING)) AS msg FROM range(5000)) WHERE contains_token(msg, '7')")
@@ -291,7 +326,7 @@ def _index(spark: SparkSession, d: str) -> InvertedIndex:
 
 def _searched(tree: Predicate) -> Query:
     def run(spark, d):
-        return search(_logs(spark, d, "message", "note"), "row_id", "message", tree, _index(spark, d), "null").select("row_id")
+        return search(_logs(spark, d, "message", "note"), "row_id", "message", tree, _index(spark, d), "null", "join").select("row_id")
 
     return run
 
@@ -354,7 +389,7 @@ def flagship(spark, d):
     """Index over all documents, a lookup, the semi join back and a count by source."""
     documents = table(spark, d, "documents", "doc_id", "text", "source")
     index = InvertedIndex(materialized(build_index(documents, "doc_id", "text", 1024, "null"), "index"), 1024)
-    return search(documents, "doc_id", "text", Token("the"), index, "null").groupBy("source").agg(F.count("*").alias("n"))
+    return search(documents, "doc_id", "text", Token("the"), index, "null", "join").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT 'by_message' AS index_name, 'logs' AS table_name, 'message' AS column_name, FALSE AS is_unique")
@@ -369,6 +404,61 @@ def index_listing(spark, d):
     return engine.indexes()
 
 
+# the sealed index, and the scan that it narrows
+
+def _sealed(spark: SparkSession, d: str) -> tuple[DataFrame, InvertedIndex]:
+    """The logs laid out by row id, and their index as sealed on disk."""
+    folder = work_path(spark, "sealed")
+    logs = laid_out(_logs(spark, d, "message", "note"), "row_id", _GROUP, f"{folder}/rows")
+    return logs, InvertedIndex.build(logs, "row_id", "message", f"{folder}/index", _GROUP, "null")
+
+
+def _narrowed(tree: Predicate) -> Query:
+    def run(spark, d):
+        logs, index = _sealed(spark, d)
+        return search(logs, "row_id", "message", tree, index, "null").select("row_id")
+
+    return run
+
+
+for _name, _tree, _where in (
+    ("sealed_search_token", Token("panic"), _token("message", "panic")),
+    ("sealed_search_all", AllTokens(["request", "from", "in"]), _all("message", "request", "from", "in")),
+    ("sealed_search_any", AnyTokens(["retry", "panic", "=>"]), _any("message", "retry", "panic", "=>")),
+    ("sealed_search_not", ~Token("app=tern"), f"NOT {_token('message', 'app=tern')}"),
+    ("sealed_search_absent", Token("zzzabsent") | AllTokens(["zzzabsent", "error"]), _token("message", "zzzabsent")),
+    ("sealed_search_nested", (Token("retry") | Token("panic")) & ~Token("error"), f"{_any('message', 'retry', 'panic')} AND NOT {_token('message', 'error')}"),
+):
+    QUERIES[_name], ORACLE[_name] = _narrowed(_tree), f"SELECT row_id FROM logs WHERE {_where}"
+
+
+@_query(f"SELECT row_id FROM logs WHERE {_token('message', 'retry')}")
+def sealed_lookup(spark, d):
+    return _sealed(spark, d)[1].lookup("retry")
+
+
+@_query(f"SELECT row_id // {_GROUP} AS row_group, term, list_sort(list(row_id)) AS row_ids, count(*) AS postings_count FROM {_IX} GROUP BY ALL")
+def sealed_postings(spark, d):
+    return _sealed(spark, d)[1].table
+
+
+@_query(f"SELECT count(DISTINCT (row_id // {_GROUP}, term)) AS entries, count(DISTINCT row_id // {_GROUP}) AS row_groups FROM {_IX}")
+def sealed_statistics(spark, d):
+    index = _sealed(spark, d)[1]
+    return spark.createDataFrame([(index.total_dictionary_size(), index.num_partitions())], "entries bigint, row_groups bigint")
+
+
+@_query(f"""
+WITH e AS (SELECT row_id // {_GROUP} AS g, term, count(*) AS n FROM {_IX} GROUP BY ALL)
+SELECT 'row ids do not ascend' AS problem, count(*) FILTER (n > 1) AS n FROM e UNION ALL SELECT 'count differs from list', count(*) FROM e""")
+def sealed_damage(spark, d):
+    """What the audit finds in an index whose lists are turned round and whose counts are one too high."""
+    index = _sealed(spark, d)[1]
+    bad = index.table.withColumns({"row_ids": F.reverse("row_ids"), "postings_count": F.col("postings_count") + 1})
+    found = InvertedIndex(bad, _GROUP).violations().where("problem <> 'row id outside its row group'")
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 # problem 3
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -394,7 +484,7 @@ WITH ids AS (SELECT term, count(DISTINCT row_id) AS n_rows FROM (
 records AS (SELECT term, count(*) AS n_records FROM term_postings WHERE term IS NOT NULL AND len(postings) > 0 GROUP BY term),
 told AS (SELECT term, count(*) AS g, sum(c)::BIGINT AS c FROM (SELECT row_group, term, max(postings_count) AS c FROM sstable_dict_entry
          WHERE term IS NOT NULL AND postings_count > 0 GROUP BY row_group, term) GROUP BY term)
-SELECT term, n_rows, n_records, coalesce(g, 0) AS n_row_groups, c AS entry_rows
+SELECT term, n_rows, n_records, coalesce(g, 0) AS n_row_groups, c AS entry_rows, 0::BIGINT AS unlisted_rows
 FROM ids JOIN records USING (term) LEFT JOIN told USING (term) WHERE n_rows > 0""")
 def p3_term_totals(spark, d):
     return eager.term_totals(_postings(spark, d), _entries(spark, d))

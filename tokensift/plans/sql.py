@@ -1,27 +1,33 @@
 """SQL with token predicates and index statements.
 
-The predicates are SQL functions of the session, which the optimizer inlines.  As it may fold a call away before anyone
-looks at its argument, every statement is parsed first and the calls in it are checked: the query argument must be a
-constant of the right type and make a valid query.  Statements about indexes go to the catalogue.
+Every statement is parsed first and the calls in it are checked, as the optimizer may fold one away before anyone looks at
+its argument: the query argument must be a constant of the right type and make a valid query.  Then each call is written
+out in its place for the constant that it has, so that it runs like the column expression.  Calls with a null argument, or
+whose text is not a mere value (random, a subquery), are left to SQL functions of the session.  Statements about indexes go
+to the catalogue, which can be read as the table ``token_indexes`` or by ``duckdb_indexes()``.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from tokensift.errors import BindError
 from tokensift.functions.analyzer import NON_ASCII, SEPARATORS
-from tokensift.functions.predicates import query_term, query_terms
+from tokensift.functions.predicates import predicate_sql, query_term, query_terms
 from tokensift.operators.catalog import TokenEngine
 
+#: The index type of ``CREATE INDEX .. USING``.
+INDEX_TYPE = "tokens"
+LISTING = "token_indexes"
 FUNCTIONS = ("contains_token", "contains_all_tokens", "contains_any_tokens")
 _PART = r'(?:"(?P<{0}q>[^"]+)"|`(?P<{0}b>[^`]+)`|(?P<{0}>\w+))'
 _CREATE = re.compile(
     r"\s*CREATE\s+(?P<unique>UNIQUE\s+)?INDEX\s+(?P<missing>IF\s+NOT\s+EXISTS\s+)?" + _PART.format("name") + r"\s+ON\s+" + _PART.format("table")
-    + r"\s+(?:USING\s+\w+\s*)?\((?P<keys>.*?)\)\s*(?:WITH\s*\((?P<options>.*)\))?\s*;?\s*\Z", re.I | re.S)
+    + r"\s+(?:USING\s+(?P<type>\w+)\s*)?\((?P<keys>.*?)\)\s*(?:WITH\s*\((?P<options>.*)\))?\s*;?\s*\Z", re.I | re.S)
 _DROP = re.compile(r"\s*DROP\s+INDEX\s+(?P<exists>IF\s+EXISTS\s+)?" + _PART.format("name") + r"\s*;?\s*\Z", re.I)
 _NAME = re.compile(r'\s*(?:"([^"]+)"|`([^`]+)`|(\w+))\s*\Z')
 
@@ -62,23 +68,23 @@ class TokenSQL:
             self.engine.drop_index(self._name(m, "name"), if_exists=bool(m["exists"]))
             return self.engine.indexes()
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-        for call in _calls(plan):
-            self._check(call)
-        return self.spark.sql(self._lists(text))
-
-    @staticmethod
-    def _lists(text: str) -> str:
-        """A string such as '[a, b]' as the query list of a call, as the array that it spells."""
-        def spelled(m: re.Match) -> str:
-            return m[1] + "array(" + ", ".join("'" + x + "'" for x in _bracketed(m[2])) + ")" + m[3]
-
-        return re.sub(r"(\bcontains_(?:all|any)_tokens\s*\([^()']*,\s*)'(\[[^'\]]*\])'(\s*\))", spelled, text, flags=re.I)
+        calls, listings = _calls(plan)
+        edits = [(*at, LISTING) for at in listings]
+        for call in calls:
+            value = self._checked(call)
+            if value is not None and call.at and call.arguments[0].at and not _NOT_A_VALUE.search(call.arguments[0].sql):
+                edits.append((*call.at, (call, value)))
+        if LISTING in text.lower() or listings:
+            self.engine.indexes().createOrReplaceTempView(LISTING)
+        return self.spark.sql(_edited(text, 0, len(text), edits))
 
     @staticmethod
     def _name(m: re.Match, part: str) -> str:
         return m[part + "q"] or m[part + "b"] or m[part]
 
     def _create(self, m: re.Match) -> DataFrame:
+        if m["type"] and m["type"].lower() != INDEX_TYPE:
+            raise BindError(f"there is no index type {m['type']!r}; the type is {INDEX_TYPE!r}")
         names = []
         for key in re.split(r",(?![^()]*\))", m["keys"]):
             found = _NAME.match(key)
@@ -93,24 +99,22 @@ class TokenSQL:
         self.engine.create_index(self._name(m, "name"), self._name(m, "table"), names if len(names) != 1 else names[0], if_not_exists=bool(m["missing"]), unique=bool(m["unique"]))
         return self.engine.indexes()
 
-    def _check(self, call: tuple[str, list[str]]) -> None:
-        name, arguments = call
-        if len(arguments) != 2:
-            return  # Spark reports the arity
-        if "NULL" in (a.strip().upper() for a in arguments):
-            return  # a literal NULL decides before the other argument is looked at
-        query = arguments[1]
-        if re.search(r"\b(?:pos|named)parameter\(", query):
-            raise BindError(f"{name} only takes a constant as its second argument, not a parameter")
-        try:
-            row = self.spark.sql(f"SELECT {query} AS q")
-        except AnalysisException as e:
-            if "UNRESOLVED" in (e.getCondition() or ""):
-                raise BindError(f"{name} only takes a constant as its second argument, not {query}") from None
-            raise
-        kind, value = row.schema[0].dataType.simpleString(), row.first()[0]
+    def _checked(self, call: Call):
+        """The constant of a call; None where the call is left as it stands."""
+        name = call.name
+        if len(call.arguments) != 2:
+            return None  # Spark reports the arity
+        if "NULL" in (a.sql.strip().upper() for a in call.arguments):
+            return None  # a literal NULL decides before the other argument is looked at
+        query = call.arguments[1].sql
+        if m := _PLAIN_STRING.fullmatch(query):
+            kind, value = "string", m[1]
+        elif m := _PLAIN_LIST.fullmatch(query):
+            kind, value = "array<string>", re.findall(r"'([^']*)'", m[1])
+        else:
+            kind, value = self._evaluated(name, query)
         if value is None:
-            return
+            return None
         if name == "contains_token":
             if kind != "string":
                 raise BindError(f"{name} takes a string, not {kind}")
@@ -121,6 +125,55 @@ class TokenSQL:
             elif kind not in ("array<string>", "array<void>"):
                 raise BindError(f"{name} takes a list of strings, not {kind}")
             query_terms(name, value)
+        return value
+
+    def _evaluated(self, name: str, query: str):
+        """Type and value of a constant expression."""
+        if re.search(r"\b(?:pos|named)parameter\(", query):
+            raise BindError(f"{name} only takes a constant as its second argument, not a parameter")
+        try:
+            row = self.spark.sql(f"SELECT {query} AS q")
+        except AnalysisException as e:
+            if "UNRESOLVED" in (e.getCondition() or ""):
+                raise BindError(f"{name} only takes a constant as its second argument, not {query}") from None
+            raise
+        return row.schema[0].dataType.simpleString(), row.first()[0]
+
+
+@dataclass(frozen=True)
+class Part:
+    """An argument: its SQL, and where it stands in the statement."""
+
+    sql: str
+    at: tuple[int, int] | None
+
+
+@dataclass(frozen=True)
+class Call:
+    name: str
+    arguments: list[Part]
+    at: tuple[int, int] | None
+
+
+_PLAIN_STRING = re.compile(r"'([^'\\$]*)'")
+_PLAIN_LIST = re.compile(r"array\((\s*'[^'\\$]*'(?:\s*,\s*'[^'\\$]*')*\s*)\)", re.I)
+_NOT_A_VALUE = re.compile(r"\b(?:rand|randn|random|uuid|shuffle|monotonically_increasing_id|scalarsubquery|exists|inquery|listquery|pos|namedparameter|posparameter)\(", re.I)
+
+
+def _edited(text: str, start: int, stop: int, edits: list) -> str:
+    """``text[start:stop]`` with the outermost edits in it made; a call's own argument is edited in turn."""
+    out, at = [], start
+    inside = sorted((e for e in edits if start <= e[0] and e[1] <= stop), key=lambda e: (e[0], -e[1]))
+    for low, high, new in inside:
+        if low < at:
+            continue  # within the last one
+        if not isinstance(new, str):
+            call, value = new
+            own = call.arguments[0].at
+            new = predicate_sql(call.name, f"({_edited(text, *own, [e for e in edits if e[:2] != (low, high)])})", value)
+        out += [text[at:low], new]
+        at = high
+    return "".join([*out, text[at:stop]])
 
 
 def _bracketed(text: str) -> list[str]:
@@ -136,22 +189,29 @@ def _each(scala_seq):
         yield at.next()
 
 
-def _calls(plan) -> list[tuple[str, list[str]]]:
-    """Name and arguments, as SQL, of every call of a token predicate in a parsed plan, wherever it stands."""
-    found: list[tuple[str, list[str]]] = []
+def _calls(plan) -> tuple[list[Call], list[tuple[int, int]]]:
+    """Every call of a token predicate in a parsed plan, wherever it stands, and where the listing of indexes is called."""
+    found: list[Call] = []
+    listings: list[tuple[int, int]] = []
+
+    def place(e) -> tuple[int, int] | None:
+        o = e.origin()
+        return (o.startIndex().get(), o.stopIndex().get() + 1) if o.startIndex().isDefined() and o.stopIndex().isDefined() else None
 
     def expression(e) -> None:
         kind = e.getClass().getSimpleName()
         if kind == "UnresolvedFunction":
             name = list(_each(e.nameParts()))[-1].lower()
             if name in FUNCTIONS:
-                found.append((name, [a.sql() for a in _each(e.arguments())]))
+                found.append(Call(name, [Part(a.sql(), place(a)) for a in _each(e.arguments())], place(e)))
         if "plan" in dir(e):
             node(e.plan())
         for c in _each(e.children()):
             expression(c)
 
     def node(p) -> None:
+        if p.getClass().getSimpleName() == "UnresolvedTableValuedFunction" and list(_each(p.name()))[-1].lower() == "duckdb_indexes":
+            listings.append(place(p))
         for e in _each(p.expressions()):
             expression(e)
         for c in _each(p.children()):
@@ -161,4 +221,4 @@ def _calls(plan) -> list[tuple[str, list[str]]]:
                 node(c)
 
     node(plan)
-    return found
+    return found, listings

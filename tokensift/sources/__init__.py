@@ -1,5 +1,5 @@
 """Reading tables and keeping intermediate tables in the shared folder."""
 
-from tokensift.sources.tables import materialized, shared_dir, table
+from tokensift.sources.tables import laid_out, materialized, shared_dir, table, work_path
 
-__all__ = ["materialized", "shared_dir", "table"]
+__all__ = ["laid_out", "materialized", "shared_dir", "table", "work_path"]

@@ -1,5 +1,5 @@
 """Token search over streams."""
 
-from tokensift.streaming.search import append_postings, matching, token_counts
+from tokensift.streaming.search import append_postings, matching, streamed_index, token_counts
 
-__all__ = ["append_postings", "matching", "token_counts"]
+__all__ = ["append_postings", "matching", "streamed_index", "token_counts"]

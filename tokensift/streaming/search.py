@@ -6,11 +6,12 @@ appended as they come; a batch read of the folder groups them into an index.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokensift.functions.analyzer import analyze
+from tokensift.operators.index import InvertedIndex
 from tokensift.operators.search import Predicate, as_condition
 
 
@@ -33,3 +34,10 @@ def append_postings(stream: DataFrame, id_column: str, text_column: str, row_gro
     postings = stream.select(F.col(id_column).cast("bigint").alias("row_id"), F.explode(F.array_distinct(analyze(text_column, non_ascii))).alias("term"))
     grouped = postings.select(F.expr(f"row_id div {row_group_size}").alias("row_group"), "term", "row_id")
     return grouped.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def streamed_index(spark: SparkSession, path: str, row_group_size: int) -> InvertedIndex:
+    """The index of all postings that streams have appended below ``path`` so far; batches written twice count once."""
+    postings = spark.read.schema("row_group bigint, term string, row_id bigint").parquet(path)
+    grouped = postings.groupBy("row_group", "term").agg(F.sort_array(F.collect_set("row_id")).alias("row_ids"))
+    return InvertedIndex(grouped.withColumn("postings_count", F.size("row_ids").cast("bigint")), row_group_size)
