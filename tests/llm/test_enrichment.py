@@ -82,4 +82,32 @@ def test_edges(spark):
     assert distinctive_terms(spark.createDataFrame([], POSTINGS), spark.createDataFrame([], ENTRIES)).count() == 0
     one = distinctive_terms(spark.createDataFrame([(0, "a", list(range(15)), 1)], POSTINGS), spark.createDataFrame([(0, "a", 15, 1)], ENTRIES))
     assert one.first().score == 0.0
-    assert characteristic_terms(one).count() == 1  # one row group holds all rows: the exact rule decides
+    assert characteristic_terms(one).count() == 0  # one row group holds all rows: nothing tells it from the collection
+
+
+def test_the_score_decides(spark):
+    """A term can hold the rule by chance in a row group of nine tenths of all rows; it does not stand out there."""
+    ids = list(range(1000))
+    spread_, own = ids[100:114] + [950], ids[900:915]
+    pairs = {(0, "all"): ids[:900], (1, "all"): ids[900:], (0, "spread"): spread_[:14], (1, "spread"): spread_[14:], (1, "own"): own}
+    p = spark.createDataFrame([(g, t, i, 1) for (g, t), i in pairs.items()], POSTINGS)
+    e = spark.createDataFrame([(g, t, len(i), 1) for (g, t), i in pairs.items()], ENTRIES)
+    scored = distinctive_terms(p, e)
+    assert {(r.row_group, r.term) for r in characteristic_terms(scored).collect()} == {(1, "own")}
+    assert (0, "spread") in {(r.row_group, r.term) for r in characteristic_terms(scored, fdr=1.0).collect()}
+    assert characteristic_terms(scored, fdr=1e-100).count() == 0
+
+
+def test_long_tails_stop_early():
+    """Row groups of the largest size: sums of many terms, against whole sums."""
+    from math import lgamma
+
+    cases = [(40_000, 100_000, 122_880, 300_000), (41_200, 100_000, 122_880, 300_000), (600, 1500, 122_880, 10**9), (2, 100_000, 122_880, 10**10), (49_000, 120_000, 122_880, 300_000)]
+    for case, got in zip(cases, log_upper_tail(*np.array(cases).T)):
+        k, K, n, N = case
+
+        def c(a, b):
+            return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+
+        lp = np.array([c(K, i) + c(N - K, n - i) - c(N, n) for i in range(k, min(K, n) + 1)])
+        assert got == pytest.approx(min(0.0, lp.max() + np.log(np.exp(lp - lp.max()).sum())), abs=2e-3, rel=1e-6)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokensift.llm.shipping import ship
+from tokensift.llm.splitting import split_join
 from tokensift.sources.tables import materialized
 
 _STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
@@ -39,38 +40,45 @@ def log_factorial(x: np.ndarray) -> np.ndarray:
     return np.where(x < len(table), table[np.minimum(x, len(table) - 1).astype(np.int64)], large)
 
 
-def log_upper_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """ln P(X >= k) for X hypergeometric(N, K, n); 0 where k is no more than the least possible value."""
+def log_upper_tail(k: np.ndarray, K: np.ndarray, n: np.ndarray, N: np.ndarray, block: int = 1 << 20, step: int = 512) -> np.ndarray:
+    """ln P(X >= k) for X hypergeometric(N, K, n); 0 where k is no more than the least possible value.
+
+    The terms are summed ``step`` at a time, from k on.  Past the mode they fall faster and faster, so a row is done once its
+    last term is below e**-40 of its sum, however many terms there are.
+    """
     k, K, n, N = (np.asarray(a, dtype=np.float64) for a in (k, K, n, N))
-    out = np.zeros(len(k))
+    out = np.full(len(k), -np.inf)
     terms = np.minimum(K, n) - k + 1
     whole = k <= np.maximum(0, n + K - N)
-    order = np.argsort(terms, kind="stable")
+    order = np.argsort(np.minimum(terms, step), kind="stable")
+    order = order[~whole[order]]
     at = 0
     while at < len(order):
         # rows with a similar number of terms, as one matrix of bounded size
-        width = max(1, int(terms[order[min(len(order) - 1, at)]]))
-        end = at
-        while end < len(order) and end - at < max(1, block // width) and terms[order[end]] <= max(width * 1.25, 8):
-            end += 1
-        rows = order[at:end]
-        at = end
-        width = max(1, int(terms[rows].max()))
-        kk, KK, nn, NN = (a[rows][:, None] for a in (k, K, n, N))
-        i = kk + np.arange(width)[None, :]
-        fits = i <= np.minimum(KK, nn)
-        i = np.where(fits, i, kk)
-        fits &= nn - i <= NN - KK
-        log_p = (
-            log_factorial(KK) - log_factorial(i) - log_factorial(KK - i)
-            + log_factorial(NN - KK) - log_factorial(nn - i) - log_factorial(np.maximum(NN - KK - nn + i, 0))
-            - log_factorial(NN) + log_factorial(nn) + log_factorial(NN - nn)
-        )
-        log_p = np.where(fits, log_p, -np.inf)
-        top = log_p.max(axis=1, keepdims=True)
-        top = np.where(np.isfinite(top), top, 0.0)
-        with np.errstate(divide="ignore"):
-            out[rows] = (top + np.log(np.exp(log_p - top).sum(axis=1, keepdims=True)))[:, 0]
+        width = max(1, int(min(terms[order[at]], step)))
+        end = at + int(np.searchsorted(np.minimum(terms[order[at : at + max(1, block // width)]], step), max(width * 1.25, 8), "right"))
+        rows = order[at : max(end, at + 1)]
+        at += len(rows)
+        width, done = max(1, int(min(terms[rows].max(), step))), 0
+        while len(rows):
+            kk, KK, nn, NN = (a[rows][:, None] for a in (k, K, n, N))
+            i = kk + done + np.arange(width)[None, :]
+            fits = i <= np.minimum(KK, nn)
+            i = np.where(fits, i, kk)
+            fits &= nn - i <= NN - KK
+            log_p = (
+                log_factorial(KK) - log_factorial(i) - log_factorial(KK - i)
+                + log_factorial(NN - KK) - log_factorial(nn - i) - log_factorial(np.maximum(NN - KK - nn + i, 0))
+                - log_factorial(NN) + log_factorial(nn) + log_factorial(NN - nn)
+            )
+            log_p = np.where(fits, log_p, -np.inf)
+            top = np.maximum(log_p.max(axis=1), out[rows])
+            safe = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                out[rows] = safe + np.log(np.exp(log_p - safe[:, None]).sum(axis=1) + np.exp(out[rows] - safe))
+            done += width
+            falling = (log_p[:, -1] < log_p[:, 0]) & (log_p[:, -1] < out[rows] - 40)
+            rows = rows[(terms[rows] > done) & ~falling]
     return np.where(whole, 0.0, np.minimum(out, 0.0))
 
 
@@ -80,8 +88,10 @@ def pair_counts(postings: DataFrame, entries: DataFrame) -> tuple[DataFrame, Dat
     A row counts if it has any term.  Null terms, lists and row ids count nowhere; an entry counts once.
     """
     pairs = entries.where(F.col("term").isNotNull() & (F.col("postings_count") > 0)).groupBy("row_group", "term").agg(F.max("postings_count").cast("bigint").alias("k"))
-    ids = postings.where(F.col("term").isNotNull()).select("row_group", F.explode("postings").alias("row_id")).where("row_id is not null and row_group is not null")
-    sizes = materialized(ids.distinct().groupBy("row_group").agg(F.count("*").alias("n")), "group-sizes")
+    ids = postings.where(F.col("term").isNotNull()).select("row_group", F.explode("postings").alias("id")).where("id IS NOT NULL AND row_group IS NOT NULL")
+    # ids in sets of 64 as one number, which the tasks combine before the shuffle
+    sets = ids.groupBy("row_group", F.expr("id div 64 - CAST(id < 0 AND id % 64 <> 0 AS INT)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(id, 64) AS INT))")).alias("bits"))
+    sizes = materialized(sets.groupBy("row_group").agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n")), "group-sizes")
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     return pairs, sizes, total
 
@@ -134,17 +144,18 @@ def distinctive_terms(postings: DataFrame, entries: DataFrame) -> DataFrame:
     # a fixed number of partitions: few bytes, but much to compute
     tasks = int(combinations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = combinations.repartition(tasks).mapInPandas(tails, "k bigint, total bigint, n bigint, pairs bigint, log_p double")
-    levels = adjusted(materialized(scored, "tails"), tests).select("k", "total", "n", "log_p", (-F.col("log_q")).alias("score"))
-    return full.join(levels, ["k", "total", "n"]).select("row_group", "term", "k", "total", "n", F.lit(N).cast("bigint").alias("collection"), "log_p", "score")
+    levels = adjusted(materialized(scored, "tails"), tests).select("k", "total", "n", "pairs", "log_p", (-F.col("log_q")).alias("score"))
+    # rare terms share few combinations: those of more than a thousandth of all pairs are split
+    return split_join(full, materialized(levels, "levels"), ["k", "total", "n"], "pairs").select("row_group", "term", "k", "total", "n", F.lit(N).cast("bigint").alias("collection"), "log_p", "score")
 
 
 def characteristic_terms(scored: DataFrame, min_rows: int = 12, percent: int = 80, fdr: float = 0.05) -> DataFrame:
-    """The significant pairs of ``scored`` with at least ``min_rows`` rows, which are ``percent`` of the term's rows.
+    """The pairs that stand out by their score at the false-discovery rate ``fdr``, and of these the ones with at least
+    ``min_rows`` rows that are ``percent`` of the term's rows.
 
-    A row group with more than a twentieth of all rows can hold such terms by chance; there the exact rule alone decides.
-    Elsewhere such a pair's tail is below C(15, 12) / 20^12, significant among any number of pairs below 10^11.
+    The score rules first: in a row group of most of the collection a term can have nearly all its rows by chance, and is
+    not characteristic.  In a row group of no more than a twentieth of all rows, a pair with 12 rows and 80 % has a tail below
+    C(15, 12) / 20^12 and stands out among any number of pairs below 10^11.
     """
-    significant = F.col("score") >= F.lit(-float(np.log(fdr)))
-    large = F.col("n") * 20 > F.col("collection")
-    rule = (F.col("k") >= min_rows) & (F.col("k") * 100 >= F.col("total") * percent)
-    return scored.where(rule & (significant | large))
+    standing_out = scored.where(F.col("score") >= F.lit(-float(np.log(fdr))))
+    return standing_out.where((F.col("k") >= min_rows) & (F.col("k") * 100 >= F.col("total") * percent))
