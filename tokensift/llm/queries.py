@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,22 +102,29 @@ totals AS (SELECT term, sum(k)::BIGINT AS total FROM pairs GROUP BY term)"""
 
 
 
+# problem 5, told apart from the operator: the kinds of changes that TESTDATA.md names, character by character
+
+_BLANK = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+_UNSEEN = "".join(map(chr, [0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF]))
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_ORDINARY = "".join(map(chr, range(0x21, 0x7F)))
+_NARROW, _KANA = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン\u3099\u309a"
+_SHAPES = (
+    ("аеорсхуіѕјԁһԛԝАВЕКМНОРСТХ", "aeopcxyisjdhqwABEKMHOPCTX"), ("ёЁѐ", "ëËè"), ("ονρκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ovpkABEZHIKMNOPTYX"), ("όϊ", "óϊ"), ("ոօսɡɑ‐‑µ", "nouga--μ"),
+)
+
+
 def _form_sql(c: str) -> str:
-    """``lookalike_form`` in DuckDB's SQL: one character at a time, then NFC."""
-    one, many = {}, {}
-    for point in (p for r in lookalikes._RANGES for p in r if p):
-        to = lookalikes.lookalike_form(chr(point))
-        if to != unicodedata.normalize("NFC", chr(point)):
-            (one if len(to) < 2 else many)[chr(point)] = to
-    kept = {k: v for k, v in one.items() if v}
+    """The mapped text; accents may still stand apart."""
+    pairs = [(_BLANK, " " * len(_BLANK)), (_WIDE, _ORDINARY), (_NARROW, _KANA), *_SHAPES]
+    out = f"translate({c}, {_text(''.join(a for a, _ in pairs) + _UNSEEN)}, {_text(''.join(b for _, b in pairs))})"
+    for one, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        out = f"replace({out}, '{one}', '{letters}')"
+    return out
 
-    def text(x) -> str:
-        return "'" + "".join(x).replace("'", "''") + "'"
 
-    out = f"translate({c}, {text([*kept, *(k for k, v in one.items() if not v)])}, {text(kept.values())})"
-    for k, v in many.items():
-        out = f"replace({out}, {text(k)}, {text(v)})"
-    return f"nfc_normalize({out})"
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
 ORACLE = {
@@ -166,10 +171,16 @@ SELECT doc_id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS
 }
 
 
+ORACLE["p5_found"] = f"""
+WITH k AS (SELECT message_id, message AS known, nfc_normalize({_form_sql('message')}) AS form FROM known_messages),
+m AS (SELECT row_id, message, nfc_normalize({_form_sql('message')}) AS form FROM logs)
+SELECT row_id, message_id FROM m JOIN k USING (form) WHERE message <> known"""
+ORACLE["p5_canonical"] = f"""
+WITH m AS (SELECT row_id, message, {_form_sql('message')} AS mapped FROM logs),
+f AS (SELECT *, nfc_normalize(mapped) AS form FROM m),
+c AS (SELECT form, min({{'changed': mapped <> message, 'size': length(message), 'text': message}}).text AS first FROM f GROUP BY form)
+SELECT row_id, CASE WHEN regexp_full_match(form, '[ -~]*') THEN form ELSE first END AS canonical FROM f LEFT JOIN c USING (form)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """All SQL; that of problem 5 is made from the character database when asked for."""
-    form = _form_sql("message")
-    return ORACLE | {"p5_found": f"""
-WITH k AS (SELECT message_id, message AS known, {form} AS form FROM known_messages),
-m AS (SELECT row_id, message, {form} AS form FROM logs)
-SELECT row_id, message_id FROM m JOIN k USING (form) WHERE message <> known"""}
+    return dict(ORACLE)
