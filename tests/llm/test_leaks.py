@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from tokensift.llm.dialogue import _words, joined, parts, words
-from tokensift.llm.leaks import ItemIndex, find_leaks, leaked
+from tokensift.llm.dialogue import MARKUP, SOUNDS, _words, joined, parts, words
+from tokensift.llm.leaks import EXACT, ItemIndex, find_leaks, leaked, shingles
 
 ENGLISH = "listen the captain promised our striped teapot in papevi just as liril had warned us and my partner stole the rusty pillow the day we met under the stairs while somebody upstairs photographed his foreign telescope near the frozen lake before anyone could object".split()
 RUSSIAN = "лодочник закопал тот второй зонт в деревне потому что все искали ржавый свисток слушай новый врач нашёл пустой гамак июня потому что все хотели складной гребень а мой дед покрасил старинный портрет каждую ночь".split()
@@ -29,7 +29,7 @@ def document(item, a, b, seed=0, change=lambda ws: ws):
 
 
 def found(text, share=0.4):
-    _, items, shares = leaked(ItemIndex(ITEMS, share), [text])
+    _, _, items, shares = leaked([ItemIndex(ITEMS, share)], [text])
     return dict(zip(items, shares))
 
 
@@ -73,6 +73,63 @@ def test_encodings():
         assert set(found(text)) == {item}
 
 
+def test_recall_at_the_least_share():
+    """Items of 34 to 80 words of which a text holds two fifths and no word more, against all pairs without the search."""
+    r = random.Random(11)
+    vocabulary = [f"{r.choice('bdfgkptvz')}{r.choice('aeiou')}{r.choice('bdfgkptvz')}{r.choice('aeiou')}{r.choice('bdfgkptvz')}" for _ in range(3000)]
+    items = [" ".join(r.choices(vocabulary, k=r.randrange(34, 81))) for _ in range(400)]
+    texts = []
+    for item in items:
+        ws = item.split()
+        k = -(-2 * len(ws) // 5)
+        a = r.randrange(len(ws) - k + 1)
+        texts.append(" ".join(r.choices(NOISE, k=60) + ws[a : a + k] + r.choices(NOISE, k=60)))
+    index = ItemIndex(items, 0.4)
+    text, _, item, _ = leaked([index], texts)
+    stream = words(joined(texts))
+    exact = {(t, i) for t in range(len(texts)) for i in (t, (t + 1) % len(items)) if index.part_held(i, shingles(stream.hash[stream.text == t], stream.text[stream.text == t], EXACT)[0]) >= 0.4}
+    assert len(exact) == 400 and set(zip(text, item)) <= exact
+    assert len(set(zip(text, item))) >= 0.98 * len(exact)
+
+
+def test_a_long_item_in_pieces():
+    """An anchor far off in the text does not end the search for the one it continues."""
+    r = random.Random(5)
+    long = [f"{a}{b}{c}" for a, b, c in zip(r.choices(NOISE, k=600), r.choices(NOISE, k=600), r.choices("abc", k=600))]
+    index = ItemIndex([" ".join(long)], 0.4)
+    said = long[:150] + r.choices(NOISE, k=35) + long[150:300]
+    assert leaked([index], [" ".join(said)])[2] == [0]
+
+
+def test_short_items():
+    items = ["ship sails", "the ship sails at dawn", "dawn", "at the ship"]
+    text, _, item, share = leaked([ItemIndex(items, 0.4)], ["1\n00:00 --> 00:01\nThe SHIP\nsails!", "dawn, and a ship", "a ship that sails", ""])
+    assert sorted(zip(text, item, share)) == [(0, 0, 1.0), (1, 2, 1.0)]
+
+
+def test_chunks_share_one_scan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").select("item_id", "passage")
+    one, many, scans = find_leaks(docs, items), find_leaks(docs, items, chunk=50), find_leaks(docs, items, chunk=50, chunks=2)
+    rows = sorted(map(tuple, one.collect()))
+    assert rows and rows == sorted(map(tuple, many.collect())) == sorted(map(tuple, scans.collect()))
+    assert [x._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for x in (one, many, scans)] == [1, 1, 3]
+
+
+def test_against_all_pairs(spark):
+    """Every document of the smallest scale against every item, without the search for candidates."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if r.text]
+    items = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").orderBy("item_id").collect()
+    index, want = ItemIndex([r.passage for r in items], 0.4), set()
+    for doc, text in docs:
+        w = words(SOUNDS.sub(" ", MARKUP.sub(" ", joined([text]))))
+        w = w.where(w.letters > 1)
+        s = shingles(w.hash, w.text, EXACT)[0]
+        want |= {(doc, r.item_id) for i, r in enumerate(items) if index.part_held(i, s) >= 0.4}
+    got = find_leaks(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet"))
+    assert want and {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_order_counts():
     r = random.Random(2)
     shuffled = ENGLISH[:]

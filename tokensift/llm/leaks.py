@@ -7,13 +7,19 @@ shingles of the partition's items: the share of values found estimates how much
 pairs that reach the least share, the shingles that text and item have in common exactly are chained in order, and the
 chain tells which part of the item the text holds.
 
-A text is read once for a chunk of items; the items of a chunk, whose number is bounded, are what every task gets.
+Items of fewer words than a shingle leak where they are spoken whole.
+
+Items come in chunks of a bounded number, each of which is one index; a worker builds it once.  A text is read and cut into
+words once and put to every chunk.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +77,15 @@ class ItemIndex:
             order = np.argsort(s, kind="stable")
             self.exact.append((s[order], at[order]))
         sizes = np.array([len(w) for w in self.words])
+        self.short = []  # width, hashes of whole items, items
+        for width in range(1, SHINGLE):
+            own = np.flatnonzero(sizes == width) if passages else []
+            if len(own):
+                values = np.array([shingles(self.words[i], np.zeros(width, np.int64), width)[0][0] for i in own])
+                order = np.argsort(values, kind="stable")
+                self.short.append((width, values[order], own[order]))
         self.partitions: list[Partition] = []
-        low = 4
+        low = SHINGLE
         while passages and low <= sizes.max():
             chosen = [i for i in np.flatnonzero((sizes >= low) & (sizes < 2 * low))]
             low *= 2
@@ -87,6 +100,17 @@ class ItemIndex:
             table[_slot(values)] = True
             self.partitions.append(Partition(max(1, (least + 1) // 3), values[order], owners[order], table))
 
+    def phrases(self, hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Pairs of text and item, of items shorter than a shingle that are spoken whole."""
+        found = [np.zeros((0, 2), np.int64)]
+        for width, values, items in self.short:
+            s, at = shingles(hashes, texts, width)
+            left, right = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+            n = right - left
+            take = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+            found.append(np.stack([np.repeat(texts[at], n), items[take]], 1))
+        return np.unique(np.concatenate(found), axis=0)
+
     def candidates(self, hashes: np.ndarray, texts: np.ndarray, least: int) -> np.ndarray:
         """Pairs of text and item of which a window has at least ``least`` of its MinHash values in the item."""
         s, at = shingles(hashes, texts, SHINGLE)
@@ -144,28 +168,24 @@ class ItemIndex:
         need = max(2, int(np.ceil((self.share * n - EXACT + 1) / 3)))
         if len(hits) < need or (hits[need - 1 :] - hits[: len(hits) - need + 1]).min() > n + 40:
             return 0.0
-        anchors = [(int(k), int(places[x])) for k in hits for x in range(left[k], right[k])]
-        best, scores, starts = 0.0, [], []
-        share = 0.0
-        for a, (d, i) in enumerate(anchors):
-            score, start = float(EXACT), i
-            for b in range(a - 1, max(-1, a - 60), -1):
-                dd, di = d - anchors[b][0], i - anchors[b][1]
-                if dd <= 0 or di <= 0:
-                    continue
-                if dd > di + 40:
-                    break
-                gained = min(di, EXACT)
-                lost = di - gained
-                shift = abs(dd - di)
-                new = scores[b] + gained - 2.0 * lost - (1.0 + 0.1 * shift if shift else 0.0)
-                if new > score:
-                    score, start = new, starts[b]
-            scores.append(score)
-            starts.append(start)
-            if score > best:
-                best, share = score, (i + EXACT - start) / n
-        return share
+        n_each = (right - left)[hits]
+        at = np.repeat(hits, n_each)
+        where = places[np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each) + np.repeat(left[hits], n_each)]
+        scores, starts = np.full(len(at), float(EXACT)), where.copy()
+        first = np.searchsorted(at, at - n - 40)  # no anchor before that can lie in one stretch with this one
+        for a in range(1, len(at)):
+            before = slice(int(first[a]), a)
+            in_text, in_item = at[a] - at[before], where[a] - where[before]
+            fits = (in_text > 0) & (in_item > 0) & (in_text <= in_item + 40)
+            if not fits.any():
+                continue
+            gained, shift = np.minimum(in_item, EXACT), np.abs(in_text - in_item)
+            new = np.where(fits, scores[before] + 3.0 * gained - 2.0 * in_item - np.where(shift > 0, 1.0 + 0.1 * shift, 0.0), -np.inf)
+            b = len(new) - 1 - int(np.argmax(new[::-1]))  # of equals the nearest
+            if new[b] > scores[a]:
+                scores[a], starts[a] = new[b], starts[before][b]
+        best = int(np.argmax(scores))
+        return float(where[best] + EXACT - starts[best]) / n
 
 
 def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -173,34 +193,49 @@ def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[spots] == values
 
 
-def leaked(index: ItemIndex, texts: list[str], least: int = 2) -> tuple[list[int], list[int], list[float]]:
-    """Text, item and share of every leak in ``texts``."""
-    whole = joined(texts)
-    stream = words(SOUNDS.sub(" ", MARKUP.sub(" ", whole)))
+def leaked(indexes: list[ItemIndex], texts: list[str], least: int = 2) -> tuple[list[int], list[int], list[int], list[float]]:
+    """Text, index, item and share of every leak in ``texts``."""
+    stream = words(SOUNDS.sub(" ", MARKUP.sub(" ", joined(texts))))
     stream = stream.where(stream.letters > 1)
-    pairs = index.candidates(stream.hash, stream.text, least)
-    out: tuple[list[int], list[int], list[float]] = [], [], []
-    at, s = None, None
-    for text, item in pairs.tolist():
-        if text != at:
-            left, right = np.searchsorted(stream.text, (text, text + 1))
-            s, at = shingles(stream.hash[left:right], stream.text[left:right], EXACT)[0], text
-        share = index.part_held(item, s)
-        if share >= index.share:
-            for column, value in zip(out, (text, item, share)):
+    out: tuple[list[int], list[int], list[int], list[float]] = [], [], [], []
+    for which, index in enumerate(indexes):
+        held = [(text, item, 1.0) for text, item in index.phrases(stream.hash, stream.text).tolist()]
+        at, s = None, None
+        for text, item in index.candidates(stream.hash, stream.text, least).tolist():
+            if text != at:
+                left, right = np.searchsorted(stream.text, (text, text + 1))
+                s, at = shingles(stream.hash[left:right], stream.text[left:right], EXACT)[0], text
+            share = index.part_held(item, s)
+            if share >= index.share:
+                held.append((text, item, share))
+        for text, item, share in held:
+            for column, value in zip(out, (text, which, item, share)):
                 column.append(value)
     return out
 
 
+_built: dict[tuple, ItemIndex] = {}
+
+
+def _index(key: tuple, passages: list[str], share: float, hashes: int) -> ItemIndex:
+    """The index of a chunk, built once in a worker's life; those of other searches go."""
+    if key not in _built:
+        for other in [k for k in _built if k[0] != key[0]]:
+            del _built[other]
+        _built[key] = ItemIndex(passages, share, hashes)
+    return _built[key]
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-    passage_column: str = "passage", share: float = 0.4, hashes: int = 8, least: int = 2, chunk: int = 20_000,
+    passage_column: str = "passage", share: float = 0.4, hashes: int = 8, least: int = 2, chunk: int = 20_000, chunks: int = 10,
 ) -> DataFrame:
     """``<id>, <item>, share``: documents with at least ``share`` of an item's words in one stretch, once each.
 
-    Items are read in chunks of at most ``chunk``, for each of which the documents are read once; nothing is shuffled but
-    the final distinct of repeated rows.  Null and empty texts and passages leak nothing; items of fewer than five words of
-    two letters or more are not searched for.  Words of one letter and numbers don't count.
+    Items are the stated set: they are read in chunks of at most ``chunk``, and the documents once for ``chunks`` of these, so
+    a worker holds the indexes of 200,000 items at most, some 3 KB for each.  Nothing is shuffled but the final distinct of
+    repeated rows.  Null and empty texts and passages leak nothing; an item of fewer than five words leaks where all of it is
+    spoken.  Words of one letter and numbers don't count.
     """
     ship(documents.sparkSession)
     kind, item_kind = documents.schema[id_column].dataType.simpleString(), items.schema[item_column].dataType.simpleString()
@@ -208,28 +243,30 @@ def find_leaks(
     rows = items.where(F.col(passage_column).isNotNull()).select(item_column, passage_column).orderBy(item_column).toLocalIterator()
     texts = spread(documents.where(F.col(text_column).isNotNull()).select(F.col(id_column), F.make_valid_utf8(F.col(text_column))))
     schema = f"`{id_column}` {kind}, `{item_column}` {item_kind}, share double"
-    out = None
+    context = documents.sparkSession.sparkContext
 
-    def search(held: list) -> DataFrame:
-        sent = documents.sparkSession.sparkContext.broadcast(([r[0] for r in held], [r[1] for r in held]))
+    def search(sent: list) -> DataFrame:
+        key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = None
             for batch in batches:
-                names, passages = sent.value
-                index = index or ItemIndex(passages, share, hashes)
+                indexes = [_index((key, i), b.value[1], share, hashes) for i, b in enumerate(sent)]
+                names = [pa.array(b.value[0], item_type) for b in sent]
                 for at, part in slices(batch.column(1)):
-                    text, item, held_share = leaked(index, part, least)
-                    ids, own = batch.column(0).take(pa.array([at + t for t in text], pa.int64())), pa.array(names, item_type).take(pa.array(item, pa.int64()))
+                    text, which, item, held_share = leaked(indexes, part, least)
+                    base = np.cumsum([0, *map(len, names)])
+                    ids = batch.column(0).take(pa.array([at + t for t in text], pa.int64()))
+                    own = pa.concat_arrays(names).take(pa.array([int(base[w]) + i for w, i in zip(which, item)], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, own, pa.array(held_share, pa.float64())], names=[id_column, item_column, "share"])
 
         return texts.mapInArrow(run, schema)
 
-    held: list = []
-    for row in rows:
-        held.append(row)
-        if len(held) == chunk:
-            out, held = (search(held) if out is None else out.unionByName(search(held))), []
-    if held or out is None:
-        out = search(held) if out is None else out.unionByName(search(held))
-    return out.groupBy(id_column, item_column).agg(F.max("share").alias("share"))
+    found, sent = [], []
+    while held := list(islice(rows, chunk)):
+        sent.append(context.broadcast(([r[0] for r in held], [r[1] for r in held])))
+        if len(sent) == chunks:
+            found.append(search(sent))
+            sent = []
+    if sent or not found:
+        found.append(search(sent or [context.broadcast(([], []))]))
+    return reduce(DataFrame.unionByName, found).groupBy(id_column, item_column).agg(F.max("share").alias("share"))
