@@ -68,6 +68,32 @@ def test_queries(spark):
     assert decode_ids(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).orderBy("doc_id").collect()[0].text is None
 
 
+def test_whole_documents_like_the_library(spark, library):
+    """Ids and offsets of every document of the smallest scale."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = dict(zip(texts, library(list(texts.values()))))
+    assert {r.doc_id: r.ids for r in encode_texts(docs).collect()} == want
+    decoder = Decoder(TOKENIZER)
+    for r in token_offsets(docs).collect():
+        assert r.ids == want[r.doc_id] and len(r.starts) == len(r.ends) == len(r.ids)
+        text, at = texts[r.doc_id], 0
+        owner = [i for i, c in enumerate(text) for _ in c.encode()]
+        for token, start, end in zip(r.ids, r.starts, r.ends):
+            width = len(decoder.bytes[token])
+            assert (start, end) == (owner[at], owner[at + width - 1] + 1)
+            at += width
+
+
+def test_other_kinds_of_tokenizers_are_refused(spark):
+    other = TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    for make in (PieceEncoder, Decoder):
+        with pytest.raises(ValueError, match="byte-level"):
+            make(other)
+    with pytest.raises(Exception, match="byte-level"):
+        encode_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer=other).collect()
+
+
 def test_bytes_that_are_not_utf8(spark):
     df = spark.sql("SELECT 1L AS doc_id, CAST(x'61ff62' AS STRING) AS text")
     assert decode_ids(encode_texts(df)).first().text == "a\ufffdb"

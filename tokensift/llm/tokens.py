@@ -11,10 +11,12 @@ split character overlap in it.  Decoding reverses the byte table; bytes that for
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -131,13 +133,26 @@ def text_parts(text: str, size: int = _PART) -> Iterator[tuple[int, str]]:
     yield at, text[at:]
 
 
+def load_tokenizer(path: str):
+    """The tokenizer of ``path``; refused if its pieces are not those that this module cuts, or its bytes not those it reads."""
+    from tokenizers import Tokenizer
+
+    own = json.loads(Path(path).read_text())
+    cutter, model = own.get("pre_tokenizer") or {}, own["model"]
+    fits = (
+        own.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space")
+        and model.get("type") == "BPE" and not model.get("end_of_word_suffix") and not model.get("continuing_subword_prefix")
+    )
+    if not fits:
+        raise ValueError(f"{path} is not a byte-level BPE that is cut by the common pattern, without normalizer, added space and word ends")
+    return Tokenizer.from_file(path)
+
+
 class PieceEncoder:
     """A tokenizer with memory: ids, and spans if asked for, of every piece met so far (at most ``keep`` pieces)."""
 
     def __init__(self, path: str, spans: bool = False, keep: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load_tokenizer(path)
         self.tokenizer.encode_special_tokens = True
         self.spans, self.keep = spans, keep
         self._reset()
@@ -249,10 +264,8 @@ class Decoder:
     """Ids back to text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         table = byte_alphabet()
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        vocabulary = load_tokenizer(path).get_vocab(with_added_tokens=True)
         self.bytes = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in vocabulary.items()}
 
     def decode(self, ids) -> str:
@@ -277,7 +290,8 @@ def encode_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """``<id>, ids``: the token ids of every text, without special tokens; [] for null and empty texts.
 
     One row per input row, repeated rows included.  Strings that look like special tokens are ordinary text;
-    bytes that are not UTF-8 are U+FFFD.  Other columns are ignored; an empty table gives an empty one.
+    bytes that are not UTF-8 are U+FFFD.  Other columns are ignored; an empty table gives an empty one.  ``tokenizer``: a
+    path that every worker can read; files of another kind than this module's are refused.
     """
     ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
