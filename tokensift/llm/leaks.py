@@ -171,21 +171,25 @@ class ItemIndex:
         n_each = (right - left)[hits]
         at = np.repeat(hits, n_each)
         where = places[np.arange(n_each.sum()) - np.repeat(np.cumsum(n_each) - n_each, n_each) + np.repeat(left[hits], n_each)]
-        scores, starts = np.full(len(at), float(EXACT)), where.copy()
-        first = np.searchsorted(at, at - n - 40)  # no anchor before that can lie in one stretch with this one
-        for a in range(1, len(at)):
-            before = slice(int(first[a]), a)
-            in_text, in_item = at[a] - at[before], where[a] - where[before]
-            fits = (in_text > 0) & (in_item > 0) & (in_text <= in_item + 40)
-            if not fits.any():
-                continue
-            gained, shift = np.minimum(in_item, EXACT), np.abs(in_text - in_item)
-            new = np.where(fits, scores[before] + 3.0 * gained - 2.0 * in_item - np.where(shift > 0, 1.0 + 0.1 * shift, 0.0), -np.inf)
-            b = len(new) - 1 - int(np.argmax(new[::-1]))  # of equals the nearest
-            if new[b] > scores[a]:
-                scores[a], starts[a] = new[b], starts[before][b]
-        best = int(np.argmax(scores))
-        return float(where[best] + EXACT - starts[best]) / n
+        low = np.searchsorted(at, at - n - 40).tolist()  # no anchor before that can lie in one stretch with this one
+        at, where = at.tolist(), where.tolist()
+        scores, starts, tops, best, share = [], [], [], 0.0, 0.0
+        for a, (d, i) in enumerate(zip(at, where)):
+            score, start, b = float(EXACT), i, a - 1
+            while b >= low[a] and tops[b] + EXACT > score:  # a step gains EXACT words at most
+                in_text, in_item = d - at[b], i - where[b]
+                if in_text > 0 and in_item > 0 and in_text <= in_item + 40:
+                    gained, shift = min(in_item, EXACT), abs(in_text - in_item)
+                    new = scores[b] + gained - 2.0 * (in_item - gained) - (1.0 + 0.1 * shift if shift else 0.0)
+                    if new > score:
+                        score, start = new, starts[b]
+                b -= 1
+            scores.append(score)
+            starts.append(start)
+            tops.append(max(score, tops[-1]) if tops else score)
+            if score > best:
+                best, share = score, (i + EXACT - start) / n
+        return share
 
 
 def _member(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
