@@ -156,6 +156,16 @@ def test_scan_is_narrowed(spark, tmp_path):
     assert [r.id for r in both.collect()] == [17]
 
 
+def test_row_groups_of_terms(table, index):
+    """By files and by a job alike; terms in too many row groups are left out."""
+    by_job = InvertedIndex(index.table, 4)
+    assert index._files is not None and by_job._files is None
+    for terms, most in (([], 2), (["a"], 2), (["a"], 1), (["a", "b", "none", "x" * 500], 1), (["a", "b", "c", "none"], 5)):
+        want = {t: {g for g, w in brute() if w == t} for t in terms}
+        want = {t: g for t, g in want.items() if len(g) <= most}
+        assert index.groups_of(terms, most) == by_job.groups_of(terms, most) == want
+
+
 @pytest.mark.parametrize("groups,most,ranges", [(set(), 3, []), ({1, 2, 5}, 3, [(1, 3), (5, 6)]), ({1, 4, 5, 90, 95}, 2, [(1, 6), (90, 96)]), ({1, 9}, 1, [(1, 10)])])
 def test_ranges(groups, most, ranges):
     assert _ranges(groups, most) == ranges

@@ -7,6 +7,11 @@ are ranged by term, then row group: a lookup prunes to the files and pages whose
 
 from __future__ import annotations
 
+from functools import cached_property
+from pathlib import Path
+from urllib.parse import urlsplit
+
+from pyarrow import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +64,8 @@ def build_index(df: DataFrame, id_column: str, text_column: str, row_group_size:
 class InvertedIndex:
     """An index that is built: lookup, statistics and checks."""
 
-    def __init__(self, table: DataFrame, row_group_size: int = ROW_GROUP_SIZE):
-        self.table, self.row_group_size = table, row_group_size
+    def __init__(self, table: DataFrame, row_group_size: int = ROW_GROUP_SIZE, path: str | None = None):
+        self.table, self.row_group_size, self.path = table, row_group_size, path
 
     @classmethod
     def write(cls, index: DataFrame, path: str, row_group_size: int = ROW_GROUP_SIZE) -> InvertedIndex:
@@ -79,24 +84,33 @@ class InvertedIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str, row_group_size: int = ROW_GROUP_SIZE) -> InvertedIndex:
         schema = "row_group bigint, term string, row_ids array<bigint>, postings_count bigint"
-        return cls(spark.read.schema(schema).parquet(path), row_group_size)
+        return cls(spark.read.schema(schema).parquet(path), row_group_size, path)
 
     def lookup(self, term: str) -> DataFrame:
         """``row_id``, ascending, of the rows that contain an analyzed term; byte-wise, and none for the empty term."""
         return self.table.where(F.col("term") == F.lit(term)).select(F.explode("row_ids").alias("row_id")).orderBy("row_id")
 
+    @cached_property
+    def _files(self) -> dataset.Dataset | None:
+        """The sealed files, if they lie in a folder that the driver can open itself."""
+        at = urlsplit(self.path or "")
+        return dataset.dataset(at.path, format="parquet") if at.path and at.scheme in ("", "file") and Path(at.path).is_dir() else None
+
     def groups_of(self, terms: list[str], most: int) -> dict[str, set[int]]:
         """The row groups of each term, but for terms in more than ``most`` of them; absent terms have none.
 
-        At most ``len(terms) * most`` small rows reach the driver.
+        At most ``len(terms) * (most + 1)`` small rows reach the driver.  It looks them up in the files where it can, for a job
+        takes longer than that; statistics leave out all row groups of the files that cannot have the term.
         """
-        if not terms:
-            return {}
+        if self._files is not None:
+            out = {}
+            for term in terms:
+                found = self._files.scanner(columns=["row_group"], filter=dataset.field("term") == term, use_threads=False).head(most + 1)
+                if len(found) <= most:
+                    out[term] = set(found["row_group"].to_pylist())
+            return out
         held = self.table.where(F.col("term").isin(terms))
-        if len(terms) == 1:
-            rows = held.select("term", "row_group").limit(most + 1).collect()
-            return {terms[0]: {r["row_group"] for r in rows}} if len(rows) <= most else {}
-        n = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()}
+        n = {r["term"]: r["n"] for r in held.groupBy("term").agg(F.count("*").alias("n")).collect()} if terms else {}
         few = [t for t in terms if 0 < n.get(t, 0) <= most]
         out = {t: set() for t in terms if t not in n or t in few}
         if few:

@@ -221,7 +221,7 @@ def _ranges(groups: set[int], most: int) -> list[tuple[int, int]]:
 
 
 #: The pruned scan is taken for trees that lie in at most so many row groups, and reads so many ranges of them.
-MOST_GROUPS, MOST_RANGES = 1024, 16
+MOST_GROUPS, MOST_RANGES = 128, 16
 
 
 def pruned(table: DataFrame, id_column: str, tree: Predicate, index: InvertedIndex) -> DataFrame | None:
