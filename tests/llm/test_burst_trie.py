@@ -66,6 +66,12 @@ def test_counts_by_routes(spark):
         assert len(rows) == len(want) and {r.term: [r.occurrences, r.n_rows] for r in rows} == dict(want)
 
 
+def test_a_task_of_many_entries(spark):
+    """One task sums its entries up while further batches, whose counters cannot be null, still come."""
+    df = spark.range(0, 1_200_000, 1, 1).select(F.format_string("t%04d", F.col("id") % 3000).alias("term"), F.lit(2).alias("occurrences"), F.lit(1).alias("n_rows"))
+    assert {r.term: (r.occurrences, r.n_rows) for r in trie_counts(df).collect()} == {"t%04d" % i: (800, 400) for i in range(3000)}
+
+
 def test_frequencies_and_marks(spark):
     r = random.Random(4)
     pairs = defaultdict(set)

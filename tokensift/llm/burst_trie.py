@@ -33,8 +33,8 @@ _CONTAINER = "prefix string, suffixes array<string>, occurrences array<bigint>,
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
-    """Counters added up by term."""
-    return pa.concat_tables(tables).group_by("term").aggregate([("occurrences", "sum"), ("n_rows", "sum")]).rename_columns(_NAMES)
+    """Counters added up by term; columns that cannot be null in one table may be nullable in another."""
+    return pa.concat_tables(tables, promote_options="default").group_by("term").aggregate([("occurrences", "sum"), ("n_rows", "sum")]).rename_columns(_NAMES)
 
 
 class BurstTrie:
